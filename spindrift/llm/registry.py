@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import minhash
+from . import minhash, toxicity
 
 QUERIES = {
+    "op1_toxicity_fm": toxicity.op1_toxicity_fm,
     "op2_minhash_near_dedup": minhash.op2_minhash_near_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
