@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import minhash, toxicity
+from . import hilbert, minhash, toxicity
 
 QUERIES = {
     "op1_toxicity_fm": toxicity.op1_toxicity_fm,
     "op2_minhash_near_dedup": minhash.op2_minhash_near_dedup,
+    "op3_hilbert_shards": hilbert.op3_hilbert_shards,
 }
 ORACLE_SQL: dict[str, str] = {}
