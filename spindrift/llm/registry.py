@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import hilbert, minhash, toxicity
+from . import hilbert, minhash, packing, reputation, toxicity
 
 QUERIES = {
     "op1_toxicity_fm": toxicity.op1_toxicity_fm,
     "op2_minhash_near_dedup": minhash.op2_minhash_near_dedup,
     "op3_hilbert_shards": hilbert.op3_hilbert_shards,
+    "op4_cutting_stock_packing": packing.op4_cutting_stock_packing,
+    "op7_host_reputation": reputation.op7_host_reputation,
 }
 ORACLE_SQL: dict[str, str] = {}
