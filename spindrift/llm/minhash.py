@@ -34,6 +34,7 @@ from ._text import U, mix, shingle_sets
 COORDS = 64
 SIGMAS = 5
 LONG = 128
+PIVOTS = (4, 8)  # pivots of a list's tokens, by turn
 BLOCK = 256
 
 _EDGES = np.arange(COORDS, dtype=U) << U(64 - COORDS.bit_length() + 1)
@@ -137,25 +138,32 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id: str = "doc_id", te
         b = sides.select(F.col("doc").alias("b"), F.col("sig").alias("sb"), F.col("t").alias("xb"))
         return pairs.join(a, "a").join(b, "b").where(F.size(F.array_intersect("sa", "sb")) >= F.greatest("xa", "xb")).select("a", "b")
 
+    # Texts of documents on any list.  Always dealt by id: a small side that happens to be broadcast here
+    # would be shuffled on a larger corpus.
+    some = posts.select("doc").distinct().hint("merge")
+    some = staged(spark, docs.join(some, "doc", "left_semi").dropDuplicates(["doc"]))
+
     def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = staged(spark, pairs)
-        wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
-        some = staged(spark, docs.join(wanted, "doc", "left_semi").dropDuplicates(["doc"]))
         a, b = some.select(F.col("doc").alias("a"), F.col("text").alias("ta")), some.select(F.col("doc").alias("b"), F.col("text").alias("tb"))
         return staged(spark, pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(_confirm(words, percent), "a long, b long"))
 
-    # Round one: in each list, the member with the least hash under one of four seeds is the pivot.
-    seed = F.pmod("token", F.lit(4))
-    rank = F.struct(F.xxhash64("doc", seed).alias("h"), F.col("doc").alias("pivot"))
-    pivots = staged(spark, posts.groupBy("token").agg(F.min(rank)["pivot"].alias("pivot"), F.count("*").alias("f")).where("f > 1"))
-    stars = posts.join(pivots, "token").where("doc <> pivot").select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
-    links = confirmed(agreeing(stars))
-    first = components(spark, links)
+    # Round one, once for all lists and once for those still mixed: in each list, the member with the least
+    # hash under one of `seeds` seeds is the pivot.
+    lists, links, tried = posts, None, None
+    for turn, seeds in enumerate(PIVOTS):
+        seed = F.pmod("token", F.lit(seeds)) + 100 * turn
+        rank = F.struct(F.xxhash64("doc", seed).alias("h"), F.col("doc").alias("pivot"))
+        pivots = staged(spark, lists.groupBy("token").agg(F.min(rank)["pivot"].alias("pivot"), F.count("*").alias("f")).where("f > 1").select("token", "pivot"))
+        stars = lists.select("token", "doc").join(pivots, "token").where("doc <> pivot").select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
+        stars = staged(spark, agreeing(stars if tried is None else stars.join(tried, ["a", "b"], "left_anti")))
+        found = confirmed(stars)
+        tried, links = (stars, found) if tried is None else (tried.union(stars), links.union(found))
+        comp = components(spark, links).withColumnRenamed("node", "doc")
+        comp = staged(spark, posts.join(comp, "doc", "left").select("token", "doc", F.coalesce("component", "doc").alias("comp")))
+        mixed = staged(spark, comp.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("f")).where("lo < hi").select("token", "f"))
+        lists = staged(spark, comp.join(mixed, "token"))
 
     # Round two: what lies in one list but in different components.
-    comp = staged(spark, posts.join(first.withColumnRenamed("node", "doc"), "doc", "left").select("token", "doc", F.coalesce("component", "doc").alias("comp")))
-    mixed = staged(spark, comp.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("f")).where("lo < hi").select("token", "f"))
-    lists = staged(spark, comp.join(mixed, "token"))
     brief = lists.where(F.col("f") <= LONG)
     x, y = brief.select("token", F.col("doc").alias("a"), F.col("comp").alias("ca")), brief.select("token", F.col("doc").alias("b"), F.col("comp").alias("cb"))
     pairs = x.join(y, "token").where("a < b and ca <> cb").select("a", "b")
@@ -169,7 +177,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id: str = "doc_id", te
         grid = F.transform(every, lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j"), F.when(k < own, 1).otherwise(0).alias("side")))
         cells = long.select("token", "doc", "comp", "sig", own.alias("own"), F.explode(grid).alias("g")).select("token", "doc", "comp", "sig", "g.i", "g.j", F.explode(F.when(F.col("g.i") == F.col("g.j"), F.array(F.lit(0), F.lit(1))).otherwise(F.array("g.side"))).alias("side"))
         again = again.union(cells.groupBy("token", "i", "j").applyInPandas(_blocks(percent), "a long, b long").where("a < b")).distinct()
-    links = staged(spark, links.union(confirmed(again.join(links, ["a", "b"], "left_anti"))))
+    links = staged(spark, links.union(confirmed(staged(spark, again.join(tried, ["a", "b"], "left_anti")))))
 
     found = staged(spark, components(spark, links))
     degree = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count("*").alias("n_links"))
