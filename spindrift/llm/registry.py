@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import hilbert, minhash, packing, reputation, toxicity
+from . import hilbert, lines, minhash, packing, reputation, toxicity
 
 QUERIES = {
     "op1_toxicity_fm": toxicity.op1_toxicity_fm,
     "op2_minhash_near_dedup": minhash.op2_minhash_near_dedup,
     "op3_hilbert_shards": hilbert.op3_hilbert_shards,
     "op4_cutting_stock_packing": packing.op4_cutting_stock_packing,
+    "op8_line_dedup": lines.op8_line_dedup,
     "op7_host_reputation": reputation.op7_host_reputation,
 }
 ORACLE_SQL: dict[str, str] = {}
