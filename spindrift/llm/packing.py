@@ -29,7 +29,7 @@ from ._text import _VALUE, U, _power, blocks, mix
 SEQUENCE = 2048
 STEP = 4
 END_ID = 1
-_UNITS = 2_000_000  # distinct units whose ids a worker remembers
+_UNITS = 1_200_000  # distinct units whose ids a worker remembers
 
 # Classes of bytes: white space, letters (ASCII, and the Latin-1 letters behind \xC3), digits, signs.
 _CLASS = np.full(256, 3, np.uint8)
