@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import hilbert, html, lines, minhash, packing, reputation, toxicity
+from . import decontaminate, hilbert, html, lines, minhash, packing, reputation, toxicity
 
 QUERIES = {
     "op1_toxicity_fm": toxicity.op1_toxicity_fm,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_cutting_stock_packing": packing.op4_cutting_stock_packing,
     "op8_line_dedup": lines.op8_line_dedup,
     "op7_host_reputation": reputation.op7_host_reputation,
+    "op10_spaced_seed_decontamination": decontaminate.op10_spaced_seed_decontamination,
     "op9_html_main_text": html.op9_html_main_text,
 }
 ORACLE_SQL: dict[str, str] = {}
