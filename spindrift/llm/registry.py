@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, hilbert, html, lines, minhash, nearest, packing, reputation, toxicity
+from . import decontaminate, hilbert, html, lines, minhash, nearest, packing, passages, reputation, toxicity
 
 QUERIES = {
     "op1_toxicity_fm": toxicity.op1_toxicity_fm,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_cutting_stock_packing": packing.op4_cutting_stock_packing,
     "op8_line_dedup": lines.op8_line_dedup,
     "op5_learned_partition_search": nearest.op5_learned_partition_search,
+    "op6_compact_window_passages": passages.op6_compact_window_passages,
     "op7_host_reputation": reputation.op7_host_reputation,
     "op10_spaced_seed_decontamination": decontaminate.op10_spaced_seed_decontamination,
     "op9_html_main_text": html.op9_html_main_text,

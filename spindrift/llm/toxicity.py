@@ -188,17 +188,15 @@ def op1_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-def harmless(spark: SparkSession, docs: DataFrame, labels: DataFrame, at: float = 0.5) -> DataFrame:
-    """Pipeline stage: the rows of `docs` that score under `at`, as they are."""
-    model = train(spark, docs, labels.where(~held_out("doc_id")))
-    # The score travels with its row, so that no join has to find it again.
-    columns = docs.columns
+def harmless(docs: DataFrame, model: Model, at: float = 0.5) -> DataFrame:
+    """Pipeline stage: the rows of `docs` that score under `at`, as they are (columns doc_id and text)."""
+    rate = _score(model)
 
     def run(batches):
         for batch in batches:
+            # The score is used where it is made, so that no join has to find its row again.
             two = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text")], names=["doc", "text"])
-            (out,) = rate([two])
-            yield batch.filter(pa.array(np.asarray(out.column(1)) < at))
+            for out in rate([two]):
+                yield batch.filter(pc.less(out.column(1), at))
 
-    rate = _score(model)
-    return docs.mapInArrow(run, docs.schema).select(columns)
+    return docs.mapInArrow(run, docs.schema)
