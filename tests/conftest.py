@@ -2,7 +2,9 @@ import os
 import sys
 from pathlib import Path
 
-import pytest
+os.environ.setdefault("OMP_NUM_THREADS", "1")  # small matrices; threads would only wait for each other
+
+import pytest  # noqa: E402
 
 ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
