@@ -119,3 +119,38 @@ def judge(spark: SparkSession, pages: DataFrame, outcomes: DataFrame, rules: Seq
 def op7_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
     return judge(spark, table(spark, sf_dir, "pages"), outcomes).drop("bound")
+
+
+def _oracle() -> str:
+    """The registered query in DuckDB's SQL."""
+    two, three = r"regexp_extract(host, '([^.]+\.[^.]+)$', 1)", r"regexp_extract(host, '([^.]+\.[^.]+\.[^.]+)$', 1)"
+    listed = ", ".join(f"'{s}'" for s in SUFFIXES)
+    rules = "".join(
+        f" WHEN (host = '{r[: r.index('/')]}' OR host LIKE '%.{r[: r.index('/')]}') AND starts_with(path, '{r[r.index('/') :]}') THEN '{r}'"
+        for _, r in sorted(RULES, key=lambda x: -len(x[1]))
+    )
+    said = "".join(f" WHEN rule = '{r}' THEN '{v}'" for v, r in RULES)
+
+    def level(name: str, source: str) -> str:
+        rho = "sum((bad - n * prior) * (bad - n * prior) - n * prior * (1 - prior)) / nullif(sum(n * (n - 1) * prior * (1 - prior)), 0)"
+        strength = f"(SELECT CASE WHEN {rho} > 0 THEN least({MOST}, greatest({LEAST}, 1 / ({rho}) - 1)) ELSE {MOST} END AS s FROM {source})"
+        return f"{name} AS (SELECT *, (bad + s * prior) / (n + s) AS rate FROM {source}, {strength})"
+
+    return f"""
+WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_UPPER.lower()}') AS host,
+ regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+o AS (SELECT doc_id AS page_id, max(1 - quality) AS bad FROM labels WHERE doc_id IS NOT NULL AND quality IN (0, 1) GROUP BY 1),
+c AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM p LEFT JOIN o USING (page_id) GROUP BY 1),
+h AS (SELECT *, CASE WHEN {two} IN ({listed}) AND {three} <> '' THEN {three} WHEN {two} NOT IN ({listed}) AND {two} <> '' THEN {two} ELSE host END AS domain,
+ CASE WHEN {two} IN ({listed}) THEN {two} ELSE regexp_extract(host, '([^.]*)$', 1) END AS suffix FROM c),
+d0 AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY 1, 2),
+s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d0 GROUP BY 1),
+s1 AS (SELECT *, (SELECT (sum(bad) + 0.5) / (sum(n) + 1.0) FROM s0)::DOUBLE AS prior FROM s0), {level("s2", "s1")},
+d1 AS (SELECT d0.*, s2.rate AS prior FROM d0 JOIN s2 USING (suffix)), {level("d2", "d1")},
+h1 AS (SELECT h.host, h.n, h.bad, d2.rate AS prior FROM h JOIN d2 USING (domain)), {level("h2", "h1")},
+j AS (SELECT p.*, h2.rate - {BOUND} * sqrt(h2.rate * (1 - h2.rate) / (h2.n + h2.s + 1)) AS bound, CASE{rules} END AS rule FROM p JOIN h2 USING (host))
+SELECT page_id, host, path, rule, CASE{said} WHEN bound > {LIMIT} THEN 'block' ELSE 'allow' END AS verdict FROM j
+"""
+
+
+ORACLE = _oracle()

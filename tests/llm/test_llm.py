@@ -376,3 +376,15 @@ def test_pipeline(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert packed.select("doc_id").distinct().count() == counts[4]
     assert sorted(map(tuple, packed.select("doc_id", "start", "length", "ids_crc32").collect())) == sorted(map(tuple, corpus_pipeline.run(spark, SF).select("doc_id", "start", "length", "ids_crc32").collect()))
+
+
+def test_reputation_matches_sql(spark):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("pages", "labels"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.01/{t}.parquet'")
+    found = c.execute(reputation.ORACLE)
+    names = [d[0] for d in found.description]
+    df = reputation.op7_host_reputation(spark, "/root/testdata/sf0.01").select(names)
+    assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, found.fetchall()))
