@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,15 +15,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own: dict[str, str] = {}  # temporary folders of sessions without a configured one, by application
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; only where none is configured (tests), a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
-        at = tempfile.mkdtemp(prefix="spindrift-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        app = spark.sparkContext.applicationId
+        at = _own.setdefault(app, "") or tempfile.mkdtemp(prefix="spindrift-")
+        _own[app] = at
     return at
 
 
+ROWS = 1000  # of a batch that a Python worker is given
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep the batches of long texts small: two workers share an executor's memory with its JVM."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > ROWS:
+        spark.conf.set(name, ROWS)
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -41,13 +56,38 @@ def staged(spark: SparkSession, df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def components(spark: SparkSession, links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components of undirected links, by alternating large-star and small-star.
+LINKS = 1_000_000  # so many links are solved in one task
+
+
+def _forest(batches):
+    """Components of all links that this task is given, by union-find with path halving."""
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up.setdefault(y, y)
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = find(a), find(b)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    nodes = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["node", "component"])
+
+
+def components(spark: SparkSession, links: DataFrame, a: str = "a", b: str = "b", most: int = LINKS) -> DataFrame:
+    """Connected components of undirected links.
 
+    Up to `LINKS` links are solved in one task of bounded memory, more by alternating large-star and
+    small-star over all of them; both give the same rows.
     Returns (node, component): component is the smallest node reachable.  Every node of a link is in the
     result.  A hub costs one row a neighbour; minima are combined before they are shuffled.
     """
     edges = staged(spark, links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    if edges.count() <= most:
+        return edges.coalesce(1).mapInArrow(_forest, "node long, component long")
     nodes = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
     before = None
     while True:

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._base import staged, table
+from ._base import small_batches, staged, table
 from ._text import _VALUE, U, _power, blocks, mix
 
 SEQUENCE = 2048
@@ -288,6 +288,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None, seq
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    small_batches(spark)
     rows = docs.select(F.col(id).cast("long").alias("doc"), F.col(text).alias("text"))
     salts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     made = rows.mapInArrow(_pieces(tokenizer, sequence, end_id), "doc long, start long, length long, ids_crc32 long, doc_tokens long")

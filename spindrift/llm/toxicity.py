@@ -23,15 +23,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import staged, table
+from ._base import small_batches, staged, table
 
 BUCKETS = 1 << 20
 FEATURES = 2048
 RANK = 8
-SAMPLE = 12_000  # labelled rows that a fit sees at most
+SAMPLE = 8_000  # labelled rows that a fit sees at most
 GRAM = 5
 LEAST_CHI2 = 12.0
-_CACHE = 400_000  # distinct words whose terms a worker remembers
+_CACHE = 100_000  # distinct words whose terms a worker remembers
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -126,6 +126,7 @@ def fit(y: np.ndarray, flat: np.ndarray, lengths: np.ndarray, epochs: int = 30,
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
     """Fit on at most `sample` rows of `labels` joined with their texts (null labels and texts: skipped)."""
+    small_batches(spark)
     chosen = labels.select(F.col(id).cast("long").alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
     chosen = staged(spark, chosen.orderBy(F.xxhash64("id"), "id").limit(sample))
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).where("text is not null")
