@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import components, staged, table
+from ._base import components, small_batches, staged, table
 from ._text import U, mix, shingle_sets
 
 COORDS = 64
@@ -96,10 +96,17 @@ def _blocks(percent: int):
         mx, my = (x > 0).sum(1), (y > 0).sum(1)
         tx, ty = need(mx, percent), need(my, percent)
         da, db, ca, cb = left.doc.values, right.doc.values, left.comp.values, right.comp.values
-        for k in range(len(x)):
+        token = part.token.iloc[0] if len(part) else 0
+        within = len(part) and part.i.iloc[0] == part.j.iloc[0]
+        # A pair belongs to the first list of the common order that both are on.
+        before = np.full((len(right), max(map(len, right.pre), default=0)), token, np.int64)
+        for j, pre in enumerate(right.pre):
+            before[j, : len(pre)] = pre
+        for k, pre in enumerate(left.pre):
             same = ((y == x[k]) & (x[k] > 0)).sum(1)
-            for j in np.flatnonzero((same >= np.maximum(tx[k], ty)) & (cb != ca[k])):
-                out.append((min(da[k], db[j]), max(da[k], db[j])))
+            found = np.flatnonzero((same >= np.maximum(tx[k], ty)) & (cb != ca[k]) & ((da[k] < db) if within else (da[k] != db)))
+            found = found[~np.isin(before[found], pre[: int(np.flatnonzero(pre == token)[0])]).any(1)]
+            out.extend((min(da[k], db[j]), max(da[k], db[j])) for j in found)
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
@@ -114,6 +121,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id: str = "doc_id", te
     with nothing; fewer words than `words` are one shingle.  A row with a null id is kept, with null
     component.  Repeated ids: each row gets its answer (the rows of one id should agree in text).
     """
+    small_batches(spark)
     docs = docs.select(F.col(id).cast("long").alias("doc"), F.col(text).alias("text"))
     sigs = staged(spark, docs.mapInArrow(_signatures(words), "doc long, n long, f1 long, f2 long, sig array<long>"))
     full = sigs.where("n > 0 and doc is not null")
@@ -129,7 +137,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id: str = "doc_id", te
     ranked = tokens.join(shared, "token").groupBy("doc", "m", "t").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("by"))
     # Tokens that nobody shares are the rarest: they fill the prefix first.
     ranked = ranked.withColumn("p", F.col("m") - F.col("t") + 1 - (F.col("m") - F.size("by"))).where("p > 0")
-    posts = staged(spark, ranked.select("doc", F.explode(F.slice("by", F.lit(1), F.col("p"))).alias("x")).select(F.col("x.token").alias("token"), "doc"))
+    prefixes = staged(spark, ranked.select("doc", F.slice(F.col("by.token"), F.lit(1), F.col("p")).alias("pre")))
+    posts = staged(spark, prefixes.select(F.explode("pre").alias("token"), "doc"))
 
     sides = reps.select("doc", "sig", m.alias("m"), t.alias("t"))
 
@@ -170,12 +179,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id: str = "doc_id", te
     again = agreeing(pairs.distinct())
     long = lists.where(F.col("f") > LONG)
     if not long.isEmpty():
-        long = long.join(sides.select("doc", "sig"), "doc")
+        long = long.join(sides.select("doc", "sig"), "doc").join(prefixes, "doc")
         count = F.ceil(F.col("f") / BLOCK).cast("int")
         own = F.pmod(F.xxhash64("doc"), count).cast("int")
         every = F.sequence(F.lit(0), count - 1)
         grid = F.transform(every, lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j"), F.when(k < own, 1).otherwise(0).alias("side")))
-        cells = long.select("token", "doc", "comp", "sig", own.alias("own"), F.explode(grid).alias("g")).select("token", "doc", "comp", "sig", "g.i", "g.j", F.explode(F.when(F.col("g.i") == F.col("g.j"), F.array(F.lit(0), F.lit(1))).otherwise(F.array("g.side"))).alias("side"))
+        cells = long.select("token", "doc", "comp", "sig", "pre", F.explode(grid).alias("g")).select("token", "doc", "comp", "sig", "pre", "g.i", "g.j", F.explode(F.when(F.col("g.i") == F.col("g.j"), F.array(F.lit(0), F.lit(1))).otherwise(F.array("g.side"))).alias("side"))
         again = again.union(cells.groupBy("token", "i", "j").applyInPandas(_blocks(percent), "a long, b long").where("a < b")).distinct()
     links = staged(spark, links.union(confirmed(staged(spark, again.join(tried, ["a", "b"], "left_anti")))))
 
