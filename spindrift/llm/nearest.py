@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 from ._base import staged, table
 
 SAMPLE = 8192
-PART_ROWS = 1024  # rows of a part aimed at
+PART_ROWS = 4096  # rows of a part aimed at: what a part returns for a query is few of them
 LEAST_FIT = 24  # sampled vectors for a part, at least
 GRAPH = 10  # neighbours in the graph
 GOAL = 0.97
-BLOCK, QUERIES = 2048, 512
+BLOCK, QUERIES = 4096, 512
 
 
 class Partitions(NamedTuple):
