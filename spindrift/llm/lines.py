@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import staged, table
+from ._base import small_batches, staged, table
 from ._text import U, _power, blocks, mix
 
 EDITS = 2
@@ -54,9 +54,18 @@ class _Lines:
         # A break at the very end of a text, or an empty text, leaves an empty line; order keeps them paired.
         self.text = np.repeat(np.arange(len(texts)), np.add.reduceat(np.concatenate((self.data == 10, [False])), offsets[:-1]) * (np.diff(offsets) > 0) + 1) if len(texts) else np.zeros(0, int)
         self.number = np.arange(len(self.text)) - np.searchsorted(self.text, self.text)
+        # Parity of the bytes in 32 buckets (low half) and of the byte pairs in 32 buckets (high half).
+        one = U(1) << (_RAW[self.data] & U(31))
+        two = U(1) << (mix(_RAW[self.data[:-1]] * U(3) + _RAW[self.data[1:]]) & U(31)) + U(32)
+        self.ones = np.concatenate((np.zeros(1, U), np.bitwise_xor.accumulate(one)))
+        self.pairs = np.concatenate((np.zeros(1, U), np.bitwise_xor.accumulate(two)))
         up, self.down = _power(n + 1)
         self.sums = np.concatenate((np.zeros(1, U), np.cumsum(_RAW[self.data] * up[:n], dtype=U)))
 
+    def parity(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """One edit turns at most 2 bits of the low half and 4 of the high half (of a text of some length)."""
+        return self.ones[low] ^ self.ones[high] ^ self.pairs[low] ^ self.pairs[high - 1]
+
     def hashed(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         return mix((self.sums[high] - self.sums[low]) * self.down[low] + (high - low).astype(U))
 
@@ -74,7 +83,7 @@ def _occurrences(least: int):
 
 
 def _keys(least: int, edits: int):
-    """(key, line, probe): a line's segments, and the substrings it looks for among other lines' segments."""
+    """(key, line, parity, probe): a line's segments, and what it looks for among other lines' segments."""
 
     def run(batches):
         for batch in batches:
@@ -83,13 +92,14 @@ def _keys(least: int, edits: int):
                 on = np.flatnonzero(x.end - x.start >= least)
                 line, one = np.unique(x.hashed(x.start[on], x.end[on]), return_index=True)
                 start, end = x.start[on][one], x.end[on][one]
-                n = end - start
-                keys, lines, probes = [], [], []
+                n, parity = end - start, x.parity(start, end)
+                keys, lines, parities, probes = [], [], [], []
 
                 def put(at, size, length, segment, which, probe):
                     key = mix(x.hashed(at, at + size) ^ mix((length * 16 + segment).astype(U)))
                     keys.append(key)
                     lines.append(line[which])
+                    parities.append(parity[which])
                     probes.append(np.full(len(key), probe))
 
                 every = np.arange(len(line))
@@ -102,7 +112,7 @@ def _keys(least: int, edits: int):
                         for shift in range(first, min(i, short + edits - i) + 1):
                             fits = np.flatnonzero((p + shift >= 0) & (p + shift + size <= n))
                             put((start + p + shift)[fits], size[fits], length[fits], i, fits, True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.concatenate(lines).astype(np.int64)), pa.array(np.concatenate(probes).astype(bool))], names=["key", "line", "probe"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.concatenate(lines).astype(np.int64)), pa.array(np.concatenate(parities).astype(np.int64)), pa.array(np.concatenate(probes).astype(bool))], names=["key", "line", "parity", "probe"])
 
     return run
 
@@ -184,12 +194,17 @@ def repeats(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text: str
     Earlier: by id, then line number, of first occurrences.  A line goes if it is not the first occurrence of
     its bytes, or if a line within `edits` occurs first before it does.  Lines under `least` bytes stay.
     """
+    small_batches(spark)
     docs = docs.select(F.col(id).cast("long").alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
     seen = staged(spark, docs.mapInArrow(_occurrences(least), "line long, doc long, number int"))
     first = staged(spark, seen.groupBy("line").agg(F.min(F.struct("doc", "number")).alias("at"), F.count("*").alias("f")))
-    keys = staged(spark, docs.select("text").mapInArrow(_keys(least, edits), "key long, line long, probe boolean"))
-    x, y = keys.where("not probe").select("key", F.col("line").alias("x")), keys.where("probe").select("key", F.col("line").alias("y"))
-    pairs = staged(spark, x.join(y, "key").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    keys = staged(spark, docs.select("text").mapInArrow(_keys(least, edits), "key long, line long, parity long, probe boolean"))
+    x = keys.where("not probe").select("key", F.col("line").alias("x"), F.col("parity").alias("px"))
+    y = keys.where("probe").select("key", F.col("line").alias("y"), F.col("parity").alias("py"))
+    # Lines that share a segment but differ in whole words are told apart here, before a pair is made.
+    turned = F.col("px").bitwiseXOR(F.col("py"))
+    alike = (F.bit_count(turned.bitwiseAND(0xFFFFFFFF)) <= 2 * edits) & (F.bit_count(F.shiftrightunsigned(turned, 32)) <= 4 * edits)
+    pairs = staged(spark, x.join(y, "key").where((F.col("x") != F.col("y")) & alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     wanted = pairs.select(F.col("a").alias("line")).union(pairs.select("b"))
     bit = F.col("line").bitwiseAND((1 << _BITS) - 1)
     marks = wanted.select(F.shiftright(bit, 6).alias("word"), F.expr("shiftleft(1L, cast(line & 63 as int))").alias("mark")).groupBy("word").agg(F.bit_or("mark").alias("mark"))
