@@ -270,6 +270,23 @@ def test_passages(spark):
     assert passages.repeated_passages(spark, docs.limit(0)).count() == 0
 
 
+def test_passages_behind_partial_copies(spark):
+    """Earlier documents that hold only parts of a passage do not hide it from two later ones."""
+    rng = random.Random(11)
+    text = lambda n: [f"q{rng.randrange(10**9)}" for _ in range(n)]
+    rows, want = [], []
+    for k in range(60):
+        passage, n = text(50 + k % 3 * 10), 4 * k
+        for j, part in enumerate((passage[:45], passage[-45:], passage, passage)):
+            rows.append((n + j, " ".join(text(30) + part + text(30))))
+        want.append((n + 3, n + 2, 30, 30 + len(passage)))
+    got = [r for r in passages.repeated_passages(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.doc_id % 4 == 3]
+    for doc, first, low, high in want:
+        mine = [r for r in got if r.doc_id == doc]
+        for at in range(low, high - 49):
+            assert any(r.first_doc_id == first and r.start_word <= at and r.end_word >= at + 50 and r.first_start_word <= at and r.first_end_word >= at + 50 for r in mine), (doc, at, mine)
+
+
 def test_nodes_of_the_cartesian_tree():
     from spindrift.llm._text import U, mix
 
