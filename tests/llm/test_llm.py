@@ -287,6 +287,33 @@ def test_passages_behind_partial_copies(spark):
             assert any(r.first_doc_id == first and r.start_word <= at and r.end_word >= at + 50 and r.first_start_word <= at and r.first_end_word >= at + 50 for r in mine), (doc, at, mine)
 
 
+def test_near_passages_beside_weaker_text():
+    """Every pair of stretches on one diagonal that brute force finds alike lies within a reported passage."""
+    rng = np.random.default_rng(3)
+
+    def compare(n, changed, before=0):
+        w = rng.integers(1, 1 << 60, n + 4 + 2 * before)
+        other = w.copy()
+        other[[before + c for c in changed]] = rng.integers(1, 1 << 60, len(changed))
+        a, b = (np.array([hash(tuple(t[k : k + 5].tolist())) & (1 << 63) - 1 for k in range(len(t) - 4)], np.uint64) for t in (w, other))
+        got = passages.verify(a, b, [(f, len(a) // 2, len(a) // 2, len(a) // 2, len(a) - len(a) // 2 - 1) for f in range(2)])
+        miss = np.concatenate(([0], np.cumsum(a != b)))
+        wanted = [(p, q) for p in range(len(a)) for q in range(p + 46, len(a) + 1) if a[p] == b[p] and a[q - 1] == b[q - 1] and (m := miss[q] - miss[p]) <= (q - p) / 9]
+        for p, q in wanted:
+            assert any(x <= p and q <= y and u <= p and q <= v for x, y, u, v in got), (n, changed, p, q, got)
+        for x, y, u, v in got:
+            s, t = set(a[x:y].tolist()), set(b[u:v].tolist())
+            assert min(y - x, v - u) >= 46 and len(s & t) >= 0.8 * len(s | t)
+        return wanted, got
+
+    wanted, _ = compare(446, [*range(24, 150, 48), *range(165, 450, 27)])
+    assert max(q - p for p, q in wanted) >= 140
+    for changed in (0, 2, 4, 45, 47, 49):
+        assert compare(46, [changed])[1] == [(0, 46, 0, 46)]
+    for _ in range(20):
+        compare(300, sorted(rng.choice(300, 9, replace=False).tolist()), before=5)
+
+
 def test_nodes_of_the_cartesian_tree():
     from spindrift.llm._text import U, mix
 
