@@ -43,3 +43,10 @@ def test_matches_duckdb(spark, duck, name):
 def test_same_text_for_both_is_not_empty(spark):
     empty = [n for n in ("clicks_37", "clicks_41", "clicks_42", "clicks_43", "social_3", "tenant_top") if not suite.QUERIES[n](spark, "/root/testdata/sf0.01").head(1)]
     assert empty == []
+
+
+def test_lake_ingests_every_user(spark, duck):
+    sf = "/root/testdata/sf0.01"  # 150 users
+    got = rows(["user_id", "c"], map(tuple, suite._ingest(spark, sf).sql("SELECT user_id, COUNT(*) AS c FROM events GROUP BY user_id").collect()))
+    want = duck.execute(f"SELECT user_id, COUNT(*) AS c FROM '{sf}/events.parquet' WHERE event_id % 10 <> 0 AND event_id % 11 <> 0 GROUP BY 1").fetchall()
+    assert len(want) == 150 and got == rows(["user_id", "c"], want)
