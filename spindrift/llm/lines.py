@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._base import small_batches, staged, table
-from ._text import U, _power, blocks, mix
+from ._text import _SPACE, U, _power, blocks, mix
 
 EDITS = 2
-LEAST = 24  # bytes; shorter lines are left alone
+LEAST = 24  # bytes; shorter lines take no part in the edit join
 _BITS = 23  # the bitmap has 2 ** _BITS bits: 1 MB
 _RAW = mix((np.arange(256, dtype=U) + U(1)) * U(0xA24BAED4963EE407))
 
@@ -70,13 +70,17 @@ class _Lines:
         return mix((self.sums[high] - self.sums[low]) * self.down[low] + (high - low).astype(U))
 
 
-def _occurrences(least: int):
+def _occurrences(least: int, shortest: int):
+    """(line, doc, number) of the lines from `least` bytes on, and of those from `shortest` that are not blank."""
+
     def run(batches):
         for batch in batches:
             docs = np.asarray(batch.column(0))
             for low, high in blocks(batch.column(1)):
                 x = _Lines(batch.column(1).slice(low, high - low))
-                on = np.flatnonzero(x.end - x.start >= least)
+                seen = np.concatenate(([0], np.cumsum(~_SPACE[x.data])))
+                size = x.end - x.start
+                on = np.flatnonzero((size >= least) | ((size >= shortest) & (seen[x.end] > seen[x.start])))
                 yield pa.RecordBatch.from_arrays([pa.array(x.hashed(x.start[on], x.end[on]).astype(np.int64)), pa.array(docs[low:high][x.text[on]]), pa.array(x.number[on].astype(np.int32))], names=["line", "doc", "number"])
 
     return run
@@ -188,15 +192,16 @@ def _verified(edits: int):
     return run
 
 
-def repeats(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def repeats(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST, shortest: int | None = None) -> DataFrame:
     """(doc, gone): for each id with any, the numbers (from 0) of its lines that repeat an earlier line.
 
     Earlier: by id, then line number, of first occurrences.  A line goes if it is not the first occurrence of
-    its bytes, or if a line within `edits` occurs first before it does.  Lines under `least` bytes stay.
+    its bytes, or if a line within `edits` occurs first before it does.  Lines under `least` bytes have no part
+    in the second, and under `shortest` (`least` if None) or blank stay.
     """
     small_batches(spark)
     docs = docs.select(F.col(id).cast("long").alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
-    seen = staged(spark, docs.mapInArrow(_occurrences(least), "line long, doc long, number int"))
+    seen = staged(spark, docs.mapInArrow(_occurrences(least, least if shortest is None else shortest), "line long, doc long, number int"))
     first = staged(spark, seen.groupBy("line").agg(F.min(F.struct("doc", "number")).alias("at"), F.count("*").alias("f")))
     keys = staged(spark, docs.select("text").mapInArrow(_keys(least, edits), "key long, line long, parity long, probe boolean"))
     x = keys.where("not probe").select("key", F.col("line").alias("x"), F.col("parity").alias("px"))
@@ -222,7 +227,7 @@ def repeats(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text: str
     return gone.groupBy("doc").agg(F.array_sort(F.collect_set("number")).alias("gone"))
 
 
-def without_repeats(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def without_repeats(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST, shortest: int | None = None) -> DataFrame:
     """`docs`, each row as it is but for the lines that repeat an earlier one, with `n_removed` beside it.
 
     Rows with null id or text, and texts without such lines, are untouched; a text may be left empty, its row
@@ -230,7 +235,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, id: str = "doc_id", te
     """
     key, many = "__doc", "__gone"
     # Dealt by id at every size, so that plans do not change with the input.
-    gone = repeats(spark, docs, id, text, edits, least).withColumnRenamed("doc", key).withColumnRenamed("gone", many)
+    gone = repeats(spark, docs, id, text, edits, least, shortest).withColumnRenamed("doc", key).withColumnRenamed("gone", many)
     out = docs.drop("n_removed")
     joined = out.join(staged(spark, gone).hint("merge"), out[id].cast("long") == F.col(key), "left")
     left = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda _, i: ~F.array_contains(F.col(many), i)), "\n")
@@ -239,10 +244,10 @@ def without_repeats(spark: SparkSession, docs: DataFrame, id: str = "doc_id", te
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return without_repeats(spark, table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "n_removed")
+    return without_repeats(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), shortest=1).select("doc_id", "text", "n_removed")
 
 
 def fewer_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Pipeline stage: the documents with their first occurrences only; n_chars follows the text."""
-    out = without_repeats(spark, docs).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    out = without_repeats(spark, docs, shortest=1).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(docs.columns)

@@ -125,6 +125,16 @@ def test_line_dedup(spark):
     assert [(r.text, r.n_chars) for r in kept] == [(long, len(long)), ("a", 1)]
 
 
+def test_short_lines_repeat_too(spark, tmp_path):
+    """The query and the stage remove exact repeats of every length but blank lines."""
+    texts = ["All rights reserved.\n\n}\n \t\nx", "x\nAll rights reserved.\n\nAll rights reserved\n \t\né", "é\nAll rights reserved."]
+    docs = frame(spark, [(k, t, "en", "s", len(t)) for k, t in enumerate(texts)])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {0: texts[0], 1: "\nAll rights reserved\n \t\né", 2: ""}
+    assert {r.doc_id: r.text for r in lines.op8_line_dedup(spark, str(tmp_path)).collect()} == want
+    assert {r.doc_id: r.text for r in lines.fewer_lines(spark, docs).collect()} == want
+
+
 def test_toxicity(spark):
     rng = random.Random(3)
     plain = [f"word{k}" for k in range(400)]
