@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,9 +20,12 @@ _own: dict[str, str] = {}  # temporary folders of sessions without a configured
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; only where none is configured (tests), a temporary one."""
+    """The cluster's checkpoint folder.  A local master without one (tests) gets a temporary folder; a cluster
+    without one is refused, as its executors would not see each other's files."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
         app = spark.sparkContext.applicationId
         at = _own.setdefault(app, "") or tempfile.mkdtemp(prefix="spindrift-")
         _own[app] = at
@@ -38,22 +42,61 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, ROWS)
 
 
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session may have ended before; the folder is the cluster's to clear then
-        pass
-
-
 def staged(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Write `df` to a table in the shared folder and read it back: lineage ends there, and a lost
-    executor costs a reread, not a recomputation.  Removed when the program ends."""
+    executor costs a reread, not a recomputation.
+
+    Removed by `discard`, or by the JVM when it ends, stopped sessions included.
+    """
     path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     df.write.parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Remove staged tables whose last reader is done (what was made of them is staged itself)."""
+    for df in tables:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._staged)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def runs(batches: Iterator[pa.RecordBatch], most: int = 1 << 16, cap: int | None = None) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole runs of equal values in the first column (sorted), and where runs begin and end.
+
+    Tables have about `most` rows, or one run that is longer; a run of `cap` rows or more comes in pieces.
+    """
+    held: list[pa.RecordBatch] = []
+    rows, wait = 0, most
+
+    def table() -> tuple[pa.Table, np.ndarray]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        key = np.asarray(t.column(0))
+        return t, np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < wait:
+            continue
+        t, cut = table()
+        wait = most
+        if len(cut) > 2:
+            last = int(cut[-2])
+            yield t.slice(0, last).combine_chunks(), cut[:-1]
+            held, rows = t.slice(last).combine_chunks().to_batches(), t.num_rows - last
+        elif cap and rows >= cap:
+            yield t, cut
+            held, rows = [], 0
+        else:
+            held, wait = t.to_batches(), 2 * rows
+    if held:
+        yield table()
 
 
 LINKS = 1_000_000  # so many links are solved in one task

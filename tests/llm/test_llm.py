@@ -125,6 +125,52 @@ def test_line_dedup(spark):
     assert [(r.text, r.n_chars) for r in kept] == [(long, len(long)), ("a", 1)]
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("most", [lines.PAIRS, 4])
+def test_line_join_against_brute_force(spark, most, monkeypatch):
+    """Families of lines that share most of their bytes, so that keys are hot; repeated ids with other texts."""
+    monkeypatch.setattr(lines, "BLOCK", 5)
+    rng = random.Random(8)
+    rows = []
+    for _ in range(4):
+        base = "".join(rng.choices("abcdefgh ", k=rng.randint(26, 40)))
+        for _ in range(40):
+            made = list(base)
+            for _ in range(rng.randint(0, 5)):
+                at = rng.randrange(len(made))
+                made[at : at + rng.randint(0, 1)] = rng.choices("abcxé", k=rng.randint(0, 2))
+            rows.append("".join(made))
+    rng.shuffle(rows)
+    texts = [(k // 3 % 20, "\n".join(rows[k : k + 3])) for k in range(0, len(rows), 3)]  # ids come several times
+    docs = frame(spark, [(i, t, None, None, 0) for i, t in texts])
+    got = {(r.doc, r.text, n) for r in lines.repeats(spark, docs, least=20, shortest=1, most=most).collect() for n in r.gone}
+    hashes = {r.text: r.h for r in docs.selectExpr("text", "xxhash64(text) AS h").collect()}
+    first = {}
+    every = sorted((i, hashes[t], n, line) for i, t in texts for n, line in enumerate(t.split("\n")))
+    for i, h, n, line in every:
+        first.setdefault(line, (i, h, n))
+    near = {x for x in first if len(x.encode()) >= 20 and any(first[y] < first[x] and len(y.encode()) >= 20 and distance(x.encode(), y.encode()) <= 2 for y in first)}
+    want = {(i, h, n) for i, h, n, line in every if line.strip() and (line in near or first[line] != (i, h, n))}
+    assert got == want and 20 < len(near) < len(first)
+
+
+def test_equal_rows_keep_their_lines_once(spark):
+    docs = frame(spark, [(1, "one line\n\nsecond line", "en", "s", 0)] * 3 + [(1, "second line\nthird", "en", "s", 0)])
+    got = sorted((r.text, r.n_removed) for r in lines.without_repeats(spark, docs, shortest=1).collect())
+    both = [x for x in got if x != ("", 2)]
+    assert got.count(("", 2)) == 2 and sorted("\n".join(t for t, _ in both).split()) == sorted("one line second line third".split())
+    with pytest.raises(ValueError):
+        lines.without_repeats(spark, docs.withColumnRenamed("lang", "n_removed"))
+
+
 def test_short_lines_repeat_too(spark, tmp_path):
     """The query and the stage remove exact repeats of every length but blank lines."""
     texts = ["All rights reserved.\n\n}\n \t\nx", "x\nAll rights reserved.\n\nAll rights reserved\n \t\né", "é\nAll rights reserved."]
