@@ -5,37 +5,41 @@ equal ranges; coordinate i of the signature is the smallest hash of the set in r
 MinHash: a coordinate filled on either side agrees with probability equal to the Jaccard similarity).
 The hash itself tells its coordinate, so a signature is a list of coordinate-value tokens.
 
-1. Documents with one set form a class; its smallest id stands for it from here on.
-2. Each representative is posted under its coordinate-value tokens; tokens that nobody shares are dropped.
+1. Documents with one set form a class, a node of the graph; one text stands for it from here on.
+2. Each node is posted under its coordinate-value tokens; tokens that nobody shares are dropped.
 3. Prefix: with at least t of m coordinates to agree, two documents must share one of their m - t + 1
    rarest tokens (one global order by list length), so only those lists are merged; the long lists are
    skipped.  t lies `SIGMAS` standard deviations under the mean at the threshold.
-4. Round one links each document with a pivot of each list; verified links give first components.  Round two
-   compares the members of a list that still lie in different components.  Pairs inside a component need no
-   look, so a group of near copies costs a few rows a member, never all its pairs.  A list still longer than
-   `LONG` is compared in blocks inside tasks, which emit only pairs above the match threshold.
-5. Candidates with at least t agreeing coordinates are confirmed on the full sets.
-
-Nothing is sampled, capped or dropped; the only loss is a linked pair whose agreeing coordinates fall under t
-(about one in three million at the threshold itself).
+4. Round one links the members of each list with a few pivots, where t coordinates agree and the full sets
+   confirm it; that gives first components.  Pairs inside a component need no look, so a group of near copies
+   costs a few rows a member, never all its pairs.
+5. Round two takes the lists whose members still lie in different components, each set of members once, and
+   compares them inside tasks, in blocks: every set is sent once a block, and only links between components
+   come out.  Sets of up to `SAMPLE` shingles are compared whole, of larger ones the hashes under a power of
+   two; where such a sample cannot tell (`SIGMAS` deviations), the documents meet again with their whole sets.
+6. Links of round two are confirmed on the full sets as well.
+
+Nothing is sampled away, capped or dropped.  Lost are a linked pair whose agreeing coordinates fall under t
+(about one in three million at the threshold itself), and a link that 32-bit hashes, by a chance collision,
+showed to be within a component that it was not (about one in a million of the pairs that just miss).
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._base import components, small_batches, staged, table
+from ._base import components, discard, runs, small_batches, staged, table
 from ._text import U, mix, shingle_sets
 
 COORDS = 64
 SIGMAS = 5
-LONG = 128
-PIVOTS = (4, 8)  # pivots of a list's tokens, by turn
-BLOCK = 256
+PIVOTS = 4  # pivots of a list's tokens
+SAMPLE = 1024  # shingles of a set that are compared at first
+BLOCK = 2048  # sets of a block of one list, or fewer
+BLOCK_VALUES = 1 << 20
 
 _EDGES = np.arange(COORDS, dtype=U) << U(64 - COORDS.bit_length() + 1)
 
@@ -49,7 +53,7 @@ def need(m: np.ndarray | int, percent: int):
 def _signatures(words: int):
     def run(batches):
         for batch in batches:
-            ids, n, f1, f2, sigs = batch.column(0), [], [], [], []
+            n, f1, f2, sigs = [], [], [], []
             for s in shingle_sets(batch.column(1), words):
                 at = np.searchsorted(s, _EDGES)
                 sigs.append(s[at[at < np.append(at[1:], len(s))]].astype(np.int64))
@@ -59,8 +63,8 @@ def _signatures(words: int):
             where = np.concatenate(([0], np.cumsum([len(x) for x in sigs]))).astype(np.int32)
             flat = np.concatenate(sigs) if sigs else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n, pa.int64()), pa.array(np.array(f1, U).astype(np.int64)), pa.array(np.array(f2, U).astype(np.int64)), pa.ListArray.from_arrays(pa.array(where), pa.array(flat))],
-                names=["doc", "n", "f1", "f2", "sig"],
+                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(np.array(f1, U).astype(np.int64)), pa.array(np.array(f2, U).astype(np.int64)), pa.ListArray.from_arrays(pa.array(where), pa.array(flat))],
+                names=["doc", "hash", "n", "f1", "f2", "sig"],
             )
 
     return run
@@ -78,131 +82,205 @@ def _confirm(words: int, percent: int):
     return run
 
 
-def _blocks(percent: int):
-    """All pairs of two blocks of one list, by agreeing coordinates; emits those over the threshold."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        left, right = part[part.side == 0], part[part.side == 1]
-        out = []
-
-        def filled(sig):
-            at = np.zeros((len(sig), COORDS), U)
-            for k, s in enumerate(sig):
-                s = np.asarray(s, np.int64).astype(U)
-                at[k, (s >> U(64 - COORDS.bit_length() + 1)).astype(int)] = s
-            return at
-
-        x, y = filled(left.sig), filled(right.sig)
-        mx, my = (x > 0).sum(1), (y > 0).sum(1)
-        tx, ty = need(mx, percent), need(my, percent)
-        da, db, ca, cb = left.doc.values, right.doc.values, left.comp.values, right.comp.values
-        token = part.token.iloc[0] if len(part) else 0
-        within = len(part) and part.i.iloc[0] == part.j.iloc[0]
-        # A pair belongs to the first list of the common order that both are on.
-        before = np.full((len(right), max(map(len, right.pre), default=0)), token, np.int64)
-        for j, pre in enumerate(right.pre):
-            before[j, : len(pre)] = pre
-        for k, pre in enumerate(left.pre):
-            same = ((y == x[k]) & (x[k] > 0)).sum(1)
-            found = np.flatnonzero((same >= np.maximum(tx[k], ty)) & (cb != ca[k]) & ((da[k] < db) if within else (da[k] != db)))
-            found = found[~np.isin(before[found], pre[: int(np.flatnonzero(pre == token)[0])]).any(1)]
-            out.extend((min(da[k], db[j]), max(da[k], db[j])) for j in found)
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+def _samples(words: int, most: int | None):
+    """(node, level, values): the high halves of a set's hashes under 2 ** (32 - level), sorted, as bytes.
+
+    The level is the least at which `most` would be expected; None: all hashes, level 0."""
+
+    def run(batches):
+        for batch in batches:
+            levels, values = [], []
+            for s in shingle_sets(batch.column(1), words):
+                level = max(0, (len(s) - 1) // most).bit_length() if most else 0
+                high = (s >> U(32)).astype(np.uint32)  # the set is sorted
+                levels.append(level)
+                values.append(high[: max(1, np.searchsorted(high, 1 << (32 - level)))].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(levels, pa.int32()), pa.array(values, pa.binary())], names=["node", "level", "values"])
 
     return run
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """One row for each row of `docs`: (`id`, n_shingles, component_id, kept, class_id, n_links).
+def _compared(percent: int):
+    """Cells, (cell, list, within, side, node, comp, level, values), to (list, a, b): links between different
+    components (list null), and the documents of a list that need a look at their whole sets (a = b)."""
+    share = percent / 100
+
+    def cell(node, comp, side, level, raw, within) -> tuple[list, set]:
+        # Large components first: what they have left to compare lies behind them.
+        _, name, many = np.unique(comp, return_inverse=True, return_counts=True)
+        order = np.lexsort((name, -many[name], side))
+        node, comp, side, level = node[order], comp[order].copy(), side[order], level[order]
+        sizes = np.array([len(raw[k]) // 4 for k in order.tolist()])
+        flat = np.frombuffer(b"".join(raw[k] for k in order.tolist()), np.uint32)
+        ends = np.cumsum(sizes)
+        values, which = np.unique(flat, return_inverse=True)
+        which, starts = which.astype(np.int32), ends - sizes
+        at = np.arange(level.max() + 1)
+        # Hashes of each set under each level's bound.
+        under = np.stack([np.add.reduceat(flat < (1 << (32 - int(k))), starts, dtype=np.int64) for k in at], 1)
+        mark = np.zeros(len(values), np.uint8)
+        first = len(node) if within else int(np.searchsorted(side, 1))
+        links, unsure = [], set()
+        for k in range(first):
+            others = np.arange(k + 1 if within else first, len(node))
+            others = others[comp[others] != comp[k]]
+            if not len(others):
+                continue
+            mine = which[starts[k] : ends[k]]
+            mark[mine] = 1
+            j = int(others[0])
+            both = np.add.reduceat(mark[which[starts[j] :]], starts[j:] - starts[j], dtype=np.int64)[others - j]
+            mark[mine] = 0
+            deep = np.maximum(level[k], level[others])
+            union = under[k, deep] + under[others, deep] - both
+            whole = deep == 0
+            for j in others[whole & (100 * both >= percent * union)].tolist():
+                if comp[j] != comp[k]:
+                    links.append((node[k], node[j]))
+                    comp[comp == comp[j]] = comp[k]
+            near = others[~whole & (both >= share * union - SIGMAS * np.sqrt(share * (1 - share) * union))]
+            near = near[comp[near] != comp[k]]
+            if len(near):
+                unsure.add(node[k])
+                unsure.update(node[near].tolist())
+        return links, unsure
 
-    Documents link where 100 * intersection >= `percent` * union of their shingle sets.  class_id is the
-    smallest id with the same set, n_links the verified links of that class found (a spanning set of its
-    component), component_id the smallest id reachable.  A null or wordless text has no shingles and links
-    with nothing; fewer words than `words` are one shingle.  A row with a null id is kept, with null
-    component.  Repeated ids: each row gets its answer (the rows of one id should agree in text).
-    """
-    small_batches(spark)
-    docs = docs.select(F.col(id).cast("long").alias("doc"), F.col(text).alias("text"))
-    sigs = staged(spark, docs.mapInArrow(_signatures(words), "doc long, n long, f1 long, f2 long, sig array<long>"))
+    def run(batches):
+        for t, cut in runs(batches, 1 << 12):
+            lists, within, side, node, comp, level = (np.asarray(t.column(k)) for k in range(1, 7))
+            out: list[tuple] = []
+            for low, high in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                x = slice(low, high)
+                links, unsure = cell(node[x], comp[x], side[x], level[x], t.column(7).slice(low, high - low).to_pylist(), bool(within[low]))
+                out += [(None, a, b) for a, b in links] + [(lists[low], a, a) for a in sorted(unsure)]
+            columns = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["list", "a", "b"])
+
+    return run
+
+
+def _each_once(lists: DataFrame) -> DataFrame:
+    """`lists` (list, node, comp) without lists that have the members of another one, or one component only."""
+    names = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in range(2)]
+    held = lists.groupBy("list").agg(F.count("*").alias("f"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), *names).where("lo < hi")
+    return lists.join(held.groupBy("f", "x0", "x1").agg(F.min("list").alias("list")).select("list"), "list", "left_semi")
+
+
+def _within_lists(spark: SparkSession, lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Staged result of `_compared` for lists (list, node, comp) with the sets (node, level, values)."""
+    rows = lists.join(sets, "node")
+    values = F.sum(F.octet_length("values") / 4)
+    count = lists.join(sets.select("node", "values"), "node").groupBy("list").agg(F.ceil(F.greatest(F.count("*") / BLOCK, values / BLOCK_VALUES)).cast("int").alias("count")).where("count > 1")
+    # Lists of several blocks are few and long; of one block a list is its own cell.
+    count = staged(spark, count)
+    rows = rows.join(count, "list", "left")
+    one = F.col("count").isNull()
+    own = F.pmod(F.xxhash64("node"), "count").cast("int")
+    grid = F.transform(F.sequence(F.lit(0), F.coalesce(F.col("count"), F.lit(1)) - 1), lambda k: F.struct(F.least(k, F.coalesce(own, F.lit(0))).alias("i"), F.greatest(k, F.coalesce(own, F.lit(0))).alias("j"), F.when(k < own, 1).otherwise(0).alias("side")))
+    cells = rows.select("list", "node", "comp", "level", "values", F.explode(grid).alias("g"))
+    cells = cells.select(F.xxhash64("list", "g.i", "g.j").alias("cell"), "list", (F.col("g.i") == F.col("g.j")).cast("int").alias("within"), "g.side", "node", "comp", "level", "values")
+    return staged(spark, cells.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(_compared(percent), "list long, a long, b long"))
+
+
+def _components(spark: SparkSession, docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of docs (doc, text, hash): (doc, hash, n, f1, f2) for each row, and (n, f1, f2, rep, component, n_links)
+    for each class."""
+    sigs = staged(spark, docs.select("doc", "text", "hash").mapInArrow(_signatures(words), "doc long, hash long, n long, f1 long, f2 long, sig array<long>"))
     full = sigs.where("n > 0 and doc is not null")
-    classes = staged(spark, full.groupBy("n", "f1", "f2").agg(F.min("doc").alias("rep")))
-    member = staged(spark, full.select("doc", "n", "f1", "f2").join(classes, ["n", "f1", "f2"]).select("doc", "rep"))
-    reps = full.select("doc", "sig").join(classes.select(F.col("rep").alias("doc")), "doc", "left_semi").dropDuplicates(["doc"])
-    reps = staged(spark, reps)
+    classes = staged(spark, full.groupBy("n", "f1", "f2").agg(F.min(F.struct("doc", "hash")).alias("rep"), F.first("sig").alias("sig")))
+    # f1 is a 64-bit hash of the set: it names the class.
+    reps = classes.select(F.col("f1").alias("node"), "sig")
     m = F.size("sig")
     t = F.greatest(F.lit(1), F.floor(m * (percent / 100) - SIGMAS * F.sqrt(m * (percent / 100) * (1 - percent / 100)))).cast("int")
 
-    tokens = reps.select("doc", m.alias("m"), t.alias("t"), F.explode("sig").alias("token"))
+    tokens = reps.select("node", m.alias("m"), t.alias("t"), F.explode("sig").alias("token"))
     shared = staged(spark, tokens.groupBy("token").agg(F.count("*").alias("f")).where("f > 1"))
-    ranked = tokens.join(shared, "token").groupBy("doc", "m", "t").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("by"))
+    ranked = tokens.join(shared, "token").groupBy("node", "m", "t").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("by"))
     # Tokens that nobody shares are the rarest: they fill the prefix first.
     ranked = ranked.withColumn("p", F.col("m") - F.col("t") + 1 - (F.col("m") - F.size("by"))).where("p > 0")
-    prefixes = staged(spark, ranked.select("doc", F.slice(F.col("by.token"), F.lit(1), F.col("p")).alias("pre")))
-    posts = staged(spark, prefixes.select(F.explode("pre").alias("token"), "doc"))
-
-    sides = reps.select("doc", "sig", m.alias("m"), t.alias("t"))
-
-    def agreeing(pairs: DataFrame) -> DataFrame:
-        a = sides.select(F.col("doc").alias("a"), F.col("sig").alias("sa"), F.col("t").alias("xa"))
-        b = sides.select(F.col("doc").alias("b"), F.col("sig").alias("sb"), F.col("t").alias("xb"))
-        return pairs.join(a, "a").join(b, "b").where(F.size(F.array_intersect("sa", "sb")) >= F.greatest("xa", "xb")).select("a", "b")
+    posts = staged(spark, ranked.select(F.explode(F.slice(F.col("by.token"), F.lit(1), F.col("p"))).alias("list"), "node"))
+    discard(spark, shared)
 
     # Texts of documents on any list.  Always dealt by id: a small side that happens to be broadcast here
     # would be shuffled on a larger corpus.
-    some = posts.select("doc").distinct().hint("merge")
-    some = staged(spark, docs.join(some, "doc", "left_semi").dropDuplicates(["doc"]))
+    some = classes.select(F.col("f1").alias("node"), "rep.doc", "rep.hash").join(posts.select("node").distinct(), "node", "left_semi")
+    some = staged(spark, docs.join(some.hint("merge"), ["doc", "hash"]).select("node", "text").dropDuplicates(["node"]))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        a, b = some.select(F.col("doc").alias("a"), F.col("text").alias("ta")), some.select(F.col("doc").alias("b"), F.col("text").alias("tb"))
+        a, b = some.select(F.col("node").alias("a"), F.col("text").alias("ta")), some.select(F.col("node").alias("b"), F.col("text").alias("tb"))
         return staged(spark, pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(_confirm(words, percent), "a long, b long"))
 
-    # Round one, once for all lists and once for those still mixed: in each list, the member with the least
-    # hash under one of `seeds` seeds is the pivot.
-    lists, links, tried = posts, None, None
-    for turn, seeds in enumerate(PIVOTS):
-        seed = F.pmod("token", F.lit(seeds)) + 100 * turn
-        rank = F.struct(F.xxhash64("doc", seed).alias("h"), F.col("doc").alias("pivot"))
-        pivots = staged(spark, lists.groupBy("token").agg(F.min(rank)["pivot"].alias("pivot"), F.count("*").alias("f")).where("f > 1").select("token", "pivot"))
-        stars = lists.select("token", "doc").join(pivots, "token").where("doc <> pivot").select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
-        stars = staged(spark, agreeing(stars if tried is None else stars.join(tried, ["a", "b"], "left_anti")))
-        found = confirmed(stars)
-        tried, links = (stars, found) if tried is None else (tried.union(stars), links.union(found))
-        comp = components(spark, links).withColumnRenamed("node", "doc")
-        comp = staged(spark, posts.join(comp, "doc", "left").select("token", "doc", F.coalesce("component", "doc").alias("comp")))
-        mixed = staged(spark, comp.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("f")).where("lo < hi").select("token", "f"))
-        lists = staged(spark, comp.join(mixed, "token"))
+    # Round one: in each list, the member with the least hash under one of `PIVOTS` seeds is the pivot.
+    rank = F.struct(F.xxhash64("node", F.pmod("list", F.lit(PIVOTS))).alias("h"), F.col("node").alias("pivot"))
+    pivots = posts.groupBy("list").agg(F.min(rank)["pivot"].alias("pivot"), F.count("*").alias("f")).where("f > 1").select("list", "pivot")
+    stars = posts.join(pivots, "list").where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    sides = reps.select("node", "sig", t.alias("t"))
+    a, b = sides.toDF("a", "sa", "xa"), sides.toDF("b", "sb", "xb")
+    stars = stars.join(a, "a").join(b, "b").where(F.size(F.array_intersect("sa", "sb")) >= F.greatest("xa", "xb")).select("a", "b")
+    links = confirmed(stars)
+    comp = staged(spark, components(spark, links).select("node", F.col("component").alias("comp")))
+    lists = posts.join(comp, "node", "left").select("list", "node", F.coalesce("comp", "node").alias("comp"))
 
     # Round two: what lies in one list but in different components.
-    brief = lists.where(F.col("f") <= LONG)
-    x, y = brief.select("token", F.col("doc").alias("a"), F.col("comp").alias("ca")), brief.select("token", F.col("doc").alias("b"), F.col("comp").alias("cb"))
-    pairs = x.join(y, "token").where("a < b and ca <> cb").select("a", "b")
-    again = agreeing(pairs.distinct())
-    long = lists.where(F.col("f") > LONG)
-    if not long.isEmpty():
-        long = long.join(sides.select("doc", "sig"), "doc").join(prefixes, "doc")
-        count = F.ceil(F.col("f") / BLOCK).cast("int")
-        own = F.pmod(F.xxhash64("doc"), count).cast("int")
-        every = F.sequence(F.lit(0), count - 1)
-        grid = F.transform(every, lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j"), F.when(k < own, 1).otherwise(0).alias("side")))
-        cells = long.select("token", "doc", "comp", "sig", "pre", F.explode(grid).alias("g")).select("token", "doc", "comp", "sig", "pre", "g.i", "g.j", F.explode(F.when(F.col("g.i") == F.col("g.j"), F.array(F.lit(0), F.lit(1))).otherwise(F.array("g.side"))).alias("side"))
-        again = again.union(cells.groupBy("token", "i", "j").applyInPandas(_blocks(percent), "a long, b long").where("a < b")).distinct()
-    links = staged(spark, links.union(confirmed(staged(spark, again.join(tried, ["a", "b"], "left_anti")))))
+    lists = staged(spark, _each_once(staged(spark, lists)))
+    mine = some.join(lists.select("node").distinct(), "node", "left_semi")
+    sample = staged(spark, mine.mapInArrow(_samples(words, SAMPLE), "node long, level int, values binary"))
+    met = _within_lists(spark, lists, sample, percent)
+    again = met.where("list is not null").select("list", F.col("a").alias("node")).distinct().join(lists, ["list", "node"])
+    more = met.where("list is null").select("a", "b")
+    again = staged(spark, _each_once(staged(spark, again)))
+    if not again.isEmpty():
+        sets = staged(spark, some.join(again.select("node").distinct(), "node", "left_semi").mapInArrow(_samples(words, None), "node long, level int, values binary"))
+        more = more.union(_within_lists(spark, again, sets, percent).select("a", "b"))
+    more = confirmed(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    links = staged(spark, links.union(more).distinct())
 
     found = staged(spark, components(spark, links))
-    degree = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    groups = staged(spark, classes.select("rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    ids = staged(spark, member.distinct().join(groups, "rep"))
-    rows = sigs.select("doc", "n").join(ids, "doc", "left")
+    degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
+    named = classes.select("n", "f1", "f2", "rep.doc", F.col("f1").alias("node")).join(found, "node", "left").join(degree, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = staged(spark, named)
+    least = named.where("n_links is not null").groupBy("component").agg(F.min("doc").alias("least"))
+    groups = staged(spark, named.join(least, "component", "left").select("n", "f1", "f2", F.col("doc").alias("rep"), F.coalesce("least", "doc").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    discard(spark, classes, posts, some, lists, sample, met, again, links, named, found, comp)
+    return sigs.drop("sig"), groups
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """One row for each row of `docs`: (`id`, n_shingles, component_id, kept, class_id, n_links, hash).
+
+    Documents link where 100 * intersection >= `percent` * union of their shingle sets.  class_id is the
+    smallest id with the same set, n_links the verified links of that class found (a spanning set of its
+    component), component_id the smallest id reachable.  A null or wordless text has no shingles and links
+    with nothing; fewer words than `words` are one shingle.  A row with a null id is kept, with null
+    component.  Rows of one id with different texts are rows like any others; hash (xxhash64 of the text) tells
+    them apart.
+    """
+    small_batches(spark)
+    docs = docs.select(F.col(id).cast("long").alias("doc"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"))
+    rows, groups = _components(spark, docs, words, percent)
+    # A null id is in no class, and neither is a text without shingles.
+    groups = groups.toDF("gn", "g1", "g2", "rep", "component", "n_links")
+    rows = rows.join(groups, (rows.n == groups.gn) & (rows.f1 == groups.g1) & (rows.f2 == groups.g2) & rows.doc.isNotNull(), "left")
     mine = F.coalesce("component", "doc")
-    return rows.select(F.col("doc").alias(id), F.col("n").alias("n_shingles"), mine.alias("component_id"), F.coalesce(mine == F.col("doc"), F.lit(True)).alias("kept"), F.coalesce("rep", "doc").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return rows.select(F.col("doc").alias(id), F.col("n").alias("n_shingles"), mine.alias("component_id"), F.coalesce(mine == F.col("doc"), F.lit(True)).alias("kept"), F.coalesce("rep", "doc").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "hash")
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark, table(spark, sf_dir, "documents"), words=2, percent=80)
+    return near_duplicates(spark, table(spark, sf_dir, "documents"), words=2, percent=80).drop("hash")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Pipeline stage: one document of each near-duplicate group stays."""
-    found = near_duplicates(spark, docs.select("doc_id", "text"), words=5, percent=80)
-    gone = found.where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Pipeline stage: one document of each near-duplicate group stays, by the sets of `op2` (two-word shingles).
+
+    Of rows equal in id and text one stays.  Rows with a null id stay.
+    """
+    found = near_duplicates(spark, docs.select("doc_id", "text"), words=2, percent=80)
+    marks = staged(spark, found.where("doc_id is not null").groupBy("doc_id", "hash").agg(F.max(~F.col("kept")).alias("gone"), F.count("*").alias("n")).where("gone or n > 1"))
+    marks = marks.toDF("__doc", "__hash", "__gone", "__n")
+    joined = docs.join(marks, (F.col("doc_id").cast("long") == F.col("__doc")) & (F.xxhash64("text") == F.col("__hash")), "left")
+    out = joined.where("__n is null").select(docs.columns)
+    equal = joined.where("__n > 1 and not __gone")
+    if marks.where("__n > 1 and not __gone").isEmpty():
+        return out
+    nth = F.row_number().over(Window.partitionBy("__doc", "__hash").orderBy(F.lit(0)))
+    return out.union(equal.withColumn("__nth", nth).where("__nth = 1").select(docs.columns))

@@ -58,7 +58,8 @@ def test_components(spark):
 
 @pytest.mark.parametrize("n", [2, 5])
 def test_near_duplicates(spark, corpus, n, monkeypatch):
-    monkeypatch.setattr(minhash, "LONG", 3)  # so that blocks are used as well
+    monkeypatch.setattr(minhash, "BLOCK", 3)  # so that blocks and samples are used as well
+    monkeypatch.setattr(minhash, "SAMPLE", 24)
     sets = {}
     for i, t, *_ in corpus:
         w = words(t)
@@ -87,6 +88,44 @@ def test_near_duplicates(spark, corpus, n, monkeypatch):
     assert minhash.near_duplicates(spark, frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("block", [minhash.BLOCK, 7])
+def test_family_of_half_copies(spark, block, monkeypatch):
+    """Many documents of one family, most of them too unlike to be linked: no link is lost, none is made up."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "SAMPLE", 64)
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(150)]
+    texts = []
+    for _ in range(120):
+        w = list(base)
+        for at in rng.sample(range(150), rng.choice([1, 4, 9, 14])):
+            w[at] = f"x{rng.randrange(40)}"
+        texts.append(" ".join(w))
+    rows = list(enumerate(texts)) + [(3, "another text under a known id"), (3, "another text under a known id"), (4, texts[0])]
+    sets = [frozenset(zip(t.split(), t.split()[1:], strict=False)) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    n = 0
+    for a in range(len(rows)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+                n += 1
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[find(k)] = min(i, least.get(find(k), i))
+    got = collections.Counter((r.doc_id, r.component_id, r.kept, r.n_shingles) for r in minhash.near_duplicates(spark, frame(spark, [(i, t, "en", "s", 0) for i, t in rows]), words=2).collect())
+    want = collections.Counter((i, least[find(k)], i == least[find(k)], len(sets[k])) for k, (i, _) in enumerate(rows))
+    assert got == want and 1 < len(set(least.values())) < 100 < n
+    kept = minhash.one_of_each(spark, frame(spark, [(i, t, "en", "s", 0) for i, t in rows])).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted({(i, t) for k, (i, t) in enumerate(rows) if i == least[find(k)]})
+
+
 def test_edit_distance():
     def distance(a, b):
         p = list(range(len(b) + 1))
