@@ -2,7 +2,7 @@
 
 1. toxicity: documents that score 0.5 or more go.
 2. line dedup: lines that repeat an earlier line go; documents stay, n_chars follows.
-3. near duplicates: of each group of near duplicates (five-word shingles, similarity 0.8) one document stays.
+3. near duplicates: of each group of near duplicates (the operator's two-word shingles, similarity 0.8) one stays.
 4. decontamination: documents with a passage of the benchmark go.
 5. packing: what is left, as pieces in sequences of 2048 tokens.
 """
