@@ -9,7 +9,9 @@ The hash itself tells its coordinate, so a signature is a list of coordinate-val
 2. Each node is posted under its coordinate-value tokens; tokens that nobody shares are dropped.
 3. Prefix: with at least t of m coordinates to agree, two documents must share one of their m - t + 1
    rarest tokens (one global order by list length), so only those lists are merged; the long lists are
-   skipped.  t lies `SIGMAS` standard deviations under the mean at the threshold.
+   skipped.  t lies `SIGMAS` standard deviations under the mean at the threshold.  Each list is merged in one
+   task, which counts the agreeing coordinates of its members (a byte of each, so never too few) and keeps the
+   members that agree in t with another one.  Lists of over `LONG` members keep them all.
 4. Round one links the members of each list with a few pivots, where t coordinates agree and the full sets
    confirm it; that gives first components.  Pairs inside a component need no look, so a group of near copies
    costs a few rows a member, never all its pairs.
@@ -36,6 +38,7 @@ from ._text import U, mix, shingle_sets
 
 COORDS = 64
 SIGMAS = 5
+LONG = 4096  # members of a list that are held against each other at once
 PIVOTS = 4  # pivots of a list's tokens
 SAMPLE = 1024  # shingles of a set that are compared at first
 BLOCK = 2048  # sets of a block of one list, or fewer
@@ -53,18 +56,22 @@ def need(m: np.ndarray | int, percent: int):
 def _signatures(words: int):
     def run(batches):
         for batch in batches:
-            n, f1, f2, sigs = [], [], [], []
+            n, f1, f2, sigs, marks = [], [], [], [], []
             for s in shingle_sets(batch.column(1), words):
                 at = np.searchsorted(s, _EDGES)
-                sigs.append(s[at[at < np.append(at[1:], len(s))]].astype(np.int64))
+                filled = at < np.append(at[1:], len(s))
+                sigs.append(s[at[filled]].astype(np.int64))
+                mark = np.zeros(COORDS, np.uint8)
+                mark[filled] = 1 + mix(s[at[filled]]) % U(255)  # 0: the coordinate is empty
+                marks.append(mark.tobytes())
                 n.append(len(s))
                 f1.append(np.sum(mix(s), dtype=U))
                 f2.append(np.sum(mix(s ^ U(0x5851F42D4C957F2D)), dtype=U))
             where = np.concatenate(([0], np.cumsum([len(x) for x in sigs]))).astype(np.int32)
             flat = np.concatenate(sigs) if sigs else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(np.array(f1, U).astype(np.int64)), pa.array(np.array(f2, U).astype(np.int64)), pa.ListArray.from_arrays(pa.array(where), pa.array(flat))],
-                names=["doc", "hash", "n", "f1", "f2", "sig"],
+                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(np.array(f1, U).astype(np.int64)), pa.array(np.array(f2, U).astype(np.int64)), pa.ListArray.from_arrays(pa.array(where), pa.array(flat)), pa.array(marks, pa.binary())],
+                names=["doc", "hash", "n", "f1", "f2", "sig", "marks"],
             )
 
     return run
@@ -82,6 +89,43 @@ def _confirm(words: int, percent: int):
     return run
 
 
+def _members(percent: int):
+    """Lists, sorted, (list, node, marks), to (list, node) of the members that agree well with another one."""
+
+    def run(batches):
+        open_ = None  # the list that came in pieces: it is long
+        for t, cut in runs(batches, cap=LONG + 1):
+            lists, node = np.asarray(t.column(0)), np.asarray(t.column(1))
+            marks = np.frombuffer(b"".join(t.column(2).to_pylist()), np.uint8).reshape(-1, COORDS)
+            least = need((marks > 0).sum(1), percent)
+            keep = np.zeros(len(node), bool)
+            first, size = cut[:-1], np.diff(cut)
+            if len(first) == 1 and size[0] > LONG:
+                open_ = lists[0]
+            whole = (size > LONG) | (lists[first] == open_ if open_ is not None else False)
+            keep[np.flatnonzero(np.repeat(whole, size))] = True
+            for low, n in zip(first[~whole & (size > 64)].tolist(), size[~whole & (size > 64)].tolist(), strict=True):
+                x = marks[low : low + n]
+                for k in range(n - 1):
+                    near = np.flatnonzero(((x[k + 1 :] == x[k]) & (x[k] > 0)).sum(1) >= np.maximum(least[low + k], least[low + k + 1 : low + n])) + k + 1
+                    if len(near):
+                        keep[low + k] = True
+                        keep[low + near] = True
+            # Of the short lists all pairs at once: the k-th member of a list with the one `step` behind it.
+            short = np.flatnonzero(np.repeat(~whole & (size <= 64), size))
+            left = np.repeat(cut[1:], size) - np.arange(len(node)) - 1  # members behind
+            for step in range(1, 64):
+                at = short = short[left[short] >= step]
+                if not len(at):
+                    break
+                same = ((marks[at] == marks[at + step]) & (marks[at] > 0)).sum(1) >= np.maximum(least[at], least[at + step])
+                keep[at[same]] = True
+                keep[at[same] + step] = True
+            yield pa.RecordBatch.from_arrays([pa.array(lists[keep]), pa.array(node[keep])], names=["list", "node"])
+
+    return run
+
+
 def _samples(words: int, most: int | None):
     """(node, level, values): the high halves of a set's hashes under 2 ** (32 - level), sorted, as bytes.
 
@@ -185,9 +229,9 @@ def _within_lists(spark: SparkSession, lists: DataFrame, sets: DataFrame, percen
 def _components(spark: SparkSession, docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Of docs (doc, text, hash): (doc, hash, n, f1, f2) for each row, and (n, f1, f2, rep, component, n_links)
     for each class."""
-    sigs = staged(spark, docs.select("doc", "text", "hash").mapInArrow(_signatures(words), "doc long, hash long, n long, f1 long, f2 long, sig array<long>"))
+    sigs = staged(spark, docs.select("doc", "text", "hash").mapInArrow(_signatures(words), "doc long, hash long, n long, f1 long, f2 long, sig array<long>, marks binary"))
     full = sigs.where("n > 0 and doc is not null")
-    classes = staged(spark, full.groupBy("n", "f1", "f2").agg(F.min(F.struct("doc", "hash")).alias("rep"), F.first("sig").alias("sig")))
+    classes = staged(spark, full.groupBy("n", "f1", "f2").agg(F.min(F.struct("doc", "hash")).alias("rep"), F.first("sig").alias("sig"), F.first("marks").alias("marks")))
     # f1 is a 64-bit hash of the set: it names the class.
     reps = classes.select(F.col("f1").alias("node"), "sig")
     m = F.size("sig")
@@ -198,7 +242,9 @@ def _components(spark: SparkSession, docs: DataFrame, words: int, percent: int)
     ranked = tokens.join(shared, "token").groupBy("node", "m", "t").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("by"))
     # Tokens that nobody shares are the rarest: they fill the prefix first.
     ranked = ranked.withColumn("p", F.col("m") - F.col("t") + 1 - (F.col("m") - F.size("by"))).where("p > 0")
-    posts = staged(spark, ranked.select(F.explode(F.slice(F.col("by.token"), F.lit(1), F.col("p"))).alias("list"), "node"))
+    ranked = ranked.join(classes.select(F.col("f1").alias("node"), "marks"), "node")
+    posts = ranked.select(F.explode(F.slice(F.col("by.token"), F.lit(1), F.col("p"))).alias("list"), "node", "marks")
+    posts = staged(spark, posts.repartition("list").sortWithinPartitions("list").mapInArrow(_members(percent), "list long, node long"))
     discard(spark, shared)
 
     # Texts of documents on any list.  Always dealt by id: a small side that happens to be broadcast here
@@ -242,7 +288,7 @@ def _components(spark: SparkSession, docs: DataFrame, words: int, percent: int)
     least = named.where("n_links is not null").groupBy("component").agg(F.min("doc").alias("least"))
     groups = staged(spark, named.join(least, "component", "left").select("n", "f1", "f2", F.col("doc").alias("rep"), F.coalesce("least", "doc").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
     discard(spark, classes, posts, some, lists, sample, met, again, links, named, found, comp)
-    return sigs.drop("sig"), groups
+    return sigs.drop("sig", "marks"), groups
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
