@@ -1,58 +1,52 @@
-"""Which packing keys a part holds: an exact set for few keys, a small Bloom filter beside it.
+"""Which packing keys a part holds: the keys themselves if they are few, else a Bloom filter of them.
 
-Only proof of absence prunes.  Whatever cannot be decided keeps the part.
+A filter is sized from the number of keys for `ERROR` false positives.  It begins with the number of probes;
+the rest are the bits.  Only proof of absence prunes: whatever cannot be decided keeps the part.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterable
 
-SET_LIMIT = 10_000
-BLOOM_LIMIT = 8_000
-PROBES = 4
-PRIME = (1 << 31) - 1
-VERSION = 1
-# Bytes of a filter and the most keys for which it is used, while false positives stay rare.
-TIERS = ((128, 80), (1024, 640), (2048, BLOOM_LIMIT))
-# Multipliers and offsets of the probes.
-_A = (1_103_515_245, 214_013, 16_807, 48_271)
-_B = (12_345, 2_531_011, 78_125, 40_014)
+SET_LIMIT = 512  # keys kept as they are
+BLOOM_LIMIT = 1 << 15  # keys of a filter: at most 40 KB
+ERROR = 0.01
+
+
+def _hashes(key: int, bits: int, probes: int) -> list[int]:
+    digest = hashlib.blake2b(key.to_bytes(8, "little", signed=True), digest_size=16).digest()
+    start, step = int.from_bytes(digest[:8], "little"), int.from_bytes(digest[8:], "little") | 1
+    return [(start + k * step) % bits for k in range(probes)]
 
 
 def key_set(keys: Iterable[int]) -> list[int] | None:
-    """Sorted distinct keys; None (undecidable) with a negative key, over the limit, or for one key, whose
-    range is exact."""
+    """Sorted distinct keys; None (undecidable) for one key, whose range is exact, or over the limit."""
     found = sorted(set(keys))
-    if len(found) <= 1 or found[0] < 0 or len(found) > SET_LIMIT:
-        return None
-    return found
+    return found if 1 < len(found) <= SET_LIMIT else None
 
 
 def set_excludes(keys: list[int] | None, key: int) -> bool:
-    return keys is not None and key >= 0 and key not in keys
-
-
-def _bits(key: int, bits: int) -> list[int]:
-    low = (key ^ (key >> 31) ^ (key >> 62)) % PRIME
-    return [((a * low + b) % PRIME) % bits for a, b in zip(_A, _B, strict=True)]
+    return keys is not None and key not in keys
 
 
 def bloom(keys: Iterable[int]) -> bytes | None:
-    """A version byte and the filter; None for at most one key, too many, or a negative one."""
+    """A filter of the keys; None if the keys themselves are kept, or are too many."""
     found = set(keys)
-    if len(found) <= 1 or len(found) > BLOOM_LIMIT or min(found) < 0:
+    if not SET_LIMIT < len(found) <= BLOOM_LIMIT:
         return None
-    size = next(s for s, most in TIERS if len(found) <= most)
-    out = bytearray(size)
+    size = math.ceil(-len(found) * math.log(ERROR) / math.log(2) ** 2 / 8)
+    probes = max(1, round(size * 8 / len(found) * math.log(2)))
+    body = bytearray(size)
     for key in found:
-        for bit in _bits(key, size * 8):
-            out[bit >> 3] |= 1 << (bit & 7)
-    return bytes([VERSION]) + bytes(out)
+        for bit in _hashes(key, size * 8, probes):
+            body[bit // 8] |= 1 << bit % 8
+    return bytes([probes]) + bytes(body)
 
 
 def bloom_may_hold(filter: bytes | None, key: int) -> bool:
-    """False only if a well-formed filter shows that the key is absent."""
-    if not filter or filter[0] != VERSION or len(filter) - 1 not in {s for s, _ in TIERS} or key < 0:
+    """False only if the filter shows that the key is absent."""
+    if not filter or len(filter) < 2 or not 0 < filter[0] < 64:
         return True
-    body = filter[1:]
-    return all(body[b >> 3] >> (b & 7) & 1 for b in _bits(key, len(body) * 8))
+    return all(filter[1 + bit // 8] >> bit % 8 & 1 for bit in _hashes(key, (len(filter) - 1) * 8, filter[0]))

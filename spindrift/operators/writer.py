@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from pyspark.sql.types import LongType
 from spindrift.sources import files
 
 from . import keyfilter
-from .catalog import Catalog, Hypertable, Part, key_index
+from .catalog import Catalog, Hypertable, Part
 
 ROW_GROUP = 131_072
 PACKED_BYTES = 1 << 30  # a packed part of more is cut between keys
@@ -73,7 +75,7 @@ def write(spark: SparkSession, catalog: Catalog, ht: Hypertable, root: str, df:
     order = [F.col(c).asc_nulls_first() for c in ht.sort_key]
     spread = [F.col(c) for c in (*ht.partition_by, "__chunk")]
     out = chunked.repartition(*spread).sortWithinPartitions(*spread, *order)
-    writer = out.write.partitionBy(*ht.partition_by, "__chunk").option("compression", "zstd" if level else "lz4_raw").option("parquet.block.row.count.limit", ROW_GROUP)
+    writer = out.write.partitionBy(*ht.partition_by, "__chunk").option("compression", "zstd" if level else "snappy").option("parquet.block.row.count.limit", ROW_GROUP)
     for c in ht.columns.columns:
         if c.bloom:
             writer = writer.option(f"parquet.bloom.filter.enabled#{c.name}", "true")
@@ -84,6 +86,13 @@ def write(spark: SparkSession, catalog: Catalog, ht: Hypertable, root: str, df:
     return parts
 
 
+def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The key set or Bloom filter of each file's keys."""
+    for batch in batches:
+        keys = batch.column(1).to_pylist()
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([keyfilter.key_set(k) for k in keys], pa.list_(pa.int64())), pa.array([keyfilter.bloom(k) for k in keys], pa.binary())], names=["path", "keys", "bloom"])
+
+
 def describe(spark: SparkSession, ht: Hypertable, folder: str, level: int) -> list[Part]:
     """Parts of a written folder, with the statistics that the files themselves give."""
     sizes = files.listing(spark, folder)
@@ -97,12 +106,13 @@ def describe(spark: SparkSession, ht: Hypertable, folder: str, level: int) -> li
     stats = [s for c in ints for s in (F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}"))]
     found = rows.groupBy("__path", *ht.partition_by).agg(F.count("*").alias("__rows"), *stats)
     keys = rows.select("__path", key).distinct()
-    few = keys.groupBy("__path").agg(F.count("*").alias("n")).where(F.col("n") <= max(keyfilter.SET_LIMIT, keyfilter.BLOOM_LIMIT)).where("n > 1")
-    held = {r["__path"]: r["keys"] for r in keys.join(few, "__path").groupBy("__path").agg(F.collect_list(key).alias("keys")).collect()}
+    few = keys.groupBy("__path").agg(F.count("*").alias("n")).where(F.col("n").between(2, keyfilter.BLOOM_LIMIT))
+    held = keys.join(few, "__path").groupBy("__path").agg(F.collect_list(key).alias("keys")).mapInArrow(_indexed, "path string, keys array<long>, bloom binary")
+    indexes = {r["path"]: (r["keys"], r["bloom"]) for r in held.collect()}  # a set or a filter for each file
     out = []
     for r in found.collect():  # a row for each file
         columns = {c: {"min": r[f"lo_{c}"], "max": r[f"hi_{c}"]} for c in ints}
-        index, bloom = key_index(held.get(r["__path"], []))
+        exact, bloom = indexes.get(r["__path"], (None, None))
         path = next((p for p in sizes if p.split(":", 1)[-1].lstrip("/") == r["__path"].split(":", 1)[-1].lstrip("/")), r["__path"])
-        out.append(Part(path, partition_text(r, ht.partition_by), r[f"lo_{key}"], r[f"hi_{key}"], r["__rows"], sizes[path][0], level, {"columns": columns, **index}, bloom))
+        out.append(Part(path, partition_text(r, ht.partition_by), r[f"lo_{key}"], r[f"hi_{key}"], r["__rows"], sizes[path][0], level, {"columns": columns, **({"keys": exact} if exact else {})}, bytes(bloom) if bloom else None))
     return sorted(out, key=lambda p: p.path)
