@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions.expressions import with_aliases
 from spindrift.operators.catalog import Catalog, CatalogError, Hypertable, NotFound
-from spindrift.operators.pruning import ColumnRange, bounds
+from spindrift.operators.pruning import ColumnRange, bounds, bounds_of
 from spindrift.sources import files
 from spindrift.sources.schema import type_name
 
@@ -40,15 +40,18 @@ class Internal(QueryError):
     status = 500
 
 
-# Plan nodes of queries.  Anything else is a command.
+# Plan nodes of queries.  Anything else, at any depth, is refused.
 _QUERIES = {
-    "Project", "UnresolvedWith", "Union", "Intersect", "Except", "Sort", "GlobalLimit", "LocalLimit", "Aggregate", "Distinct", "UnresolvedHaving",
-    "LocalRelation", "OneRowRelation", "UnresolvedRelation", "SubqueryAlias", "Filter", "Join", "Offset", "UnresolvedInlineTable", "UnresolvedSubqueryColumnAliases",
-    "Generate", "LateralJoin", "WithWindowDefinition", "UnresolvedTableValuedFunction", "Pivot", "Unpivot", "Sample", "View", "UnresolvedStar", "RepartitionByExpression",
+    "Aggregate", "Distinct", "Except", "Filter", "Generate", "GlobalLimit", "Intersect", "Join", "LateralJoin", "LocalLimit", "LocalRelation", "Offset",
+    "OneRowRelation", "Pivot", "Project", "Sample", "Sort", "SubqueryAlias", "Union", "UnresolvedHaving", "UnresolvedHint", "UnresolvedInlineTable",
+    "UnresolvedRelation", "UnresolvedSubqueryColumnAliases", "UnresolvedTableValuedFunction", "UnresolvedWith", "Unpivot", "WithWindowDefinition",
 }
 # Functions that reach outside the session's tables.
-_DENIED = {"reflect", "java_method", "try_reflect", "input_file_name", "read_files", "python_udtf", "current_catalog", "read_kafka", "read_state", "read_statestore"}
+_DENIED = {"reflect", "java_method", "try_reflect", "input_file_name", "input_file_block_start", "input_file_block_length", "read_files", "python_udtf", "current_catalog", "read_kafka", "read_state", "read_statestore", "identifier"}
 _TABLE_FUNCTIONS = {"range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack", "json_tuple"}
+# Names that callers use for functions Spark has under other names.
+_FUNCTIONS = {"to_timestamp_seconds(s BIGINT) RETURNS TIMESTAMP": "timestamp_seconds(s)", "to_timestamp_millis(ms BIGINT) RETURNS TIMESTAMP": "timestamp_millis(ms)", "from_unixtime_seconds(s BIGINT) RETURNS TIMESTAMP": "timestamp_seconds(s)"}
+_QUOTED = re.compile(r"('(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|--[^\n]*|/\*.*?\*/)|\binformation_schema\s*\.\s*(tables|columns)\b", re.I | re.S)
 
 
 def table(spark: SparkSession, catalog: Catalog, ht: Hypertable, key: int | None, ranges: Sequence[ColumnRange] = (), as_of: int | None = None) -> DataFrame:
@@ -91,11 +94,25 @@ def schema_block(df: DataFrame) -> list[dict]:
     return [{"name": f.name, "type": type_name(f), "nullable": f.nullable} for f in df.schema]
 
 
-def _walk(node):
-    yield node
-    for group in (node.children(), node.innerChildren()):
-        for k in range(group.size()):
-            yield from _walk(group.apply(k))
+def _items(seq) -> list:
+    return [seq.apply(k) for k in range(seq.size())]
+
+
+def _kind(node) -> str:
+    return node.getClass().getSimpleName()
+
+
+# Expressions that hold a plan.
+_SUBQUERIES = {"ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"}
+
+
+def _expressions(plan):
+    """All expressions of one plan node, at any depth."""
+    todo = _items(plan.expressions())
+    while todo:
+        e = todo.pop()
+        yield e
+        todo += _items(e.children())
 
 
 class Namespace:
@@ -109,42 +126,104 @@ class Namespace:
         self.spark.conf.set("spark.sql.runSQLOnFiles", "false")
         found = catalog.logical_tables(namespace) if namespace is not None else [(h.name, h) for h in catalog.hypertables()]
         self.tables = dict(found)
-        for name, ht in found:
-            table(self.spark, catalog, ht, namespace, (ranges or {}).get(name, ()), as_of).createOrReplaceTempView(name)
+        self.catalog, self.ranges, self.as_of = catalog, ranges or {}, as_of
+        for name in self.tables:
+            self._view(name, self.ranges.get(name, ()))
+        for signature, body in _FUNCTIONS.items():
+            self.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURN {body}")
         self._information()
 
+    def _view(self, name: str, ranges: Sequence[ColumnRange]) -> None:
+        table(self.spark, self.catalog, self.tables[name], self.namespace, ranges, self.as_of).createOrReplaceTempView(name)
+
     def _information(self) -> None:
         tables = [("spindrift", "public", n, "BASE TABLE") for n in self.tables]
         columns = [("spindrift", "public", n, f.name, k + 1, "YES" if f.nullable else "NO", type_name(f)) for n, h in self.tables.items() for k, f in enumerate(h.columns.query)]
         self.spark.createDataFrame(tables, "table_catalog string, table_schema string, table_name string, table_type string").createOrReplaceTempView("information_schema_tables")
         self.spark.createDataFrame(columns, "table_catalog string, table_schema string, table_name string, column_name string, ordinal_position int, is_nullable string, data_type string").createOrReplaceTempView("information_schema_columns")
 
-    def check(self, sql: str) -> None:
-        """Refuse whatever is not a query over this session's tables, before Spark would run it."""
+    def check(self, sql: str):
+        """The parsed statement; refused is whatever is not a query over this session's tables, before Spark
+        would run it.  Every plan node and expression is looked at, those of subqueries too."""
         try:
             plan = self.spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
         except Exception as e:
             raise Refused(str(e).strip().splitlines()[0]) from None
-        kind = plan.getClass().getSimpleName()
+        self._check(plan, {*(n.lower() for n in self.tables), "information_schema_tables", "information_schema_columns"})
+        return plan
+
+    def _check(self, plan, names: set[str]) -> None:
+        kind = _kind(plan)
         if kind not in _QUERIES:
             raise Refused(f"only queries are allowed, not {kind}")
-        text = plan.toString().lower()
-        for name in re.findall(r"'?([a-z_][\w.]*)\s*\(", text) + re.findall(r"unresolvedtablevaluedfunction \[([\w.]+)", text):
-            if name.split(".")[-1] in _DENIED:
-                raise Refused(f"function {name} is not allowed")
-        for name in re.findall(r"unresolvedtablevaluedfunction \[([\w.]+)", text):
-            if name not in _TABLE_FUNCTIONS:
+        if kind == "UnresolvedWith":
+            # A CTE sees those before it, and itself only if it is recursive.
+            for cte in _items(plan.cteRelations()):
+                name = cte._1().lower()
+                self._check(cte._2(), names | {name} if plan.allowRecursion() else names)
+                names = names | {name}
+        elif kind == "UnresolvedRelation":
+            found = _items(plan.multipartIdentifier())
+            if len(found) != 1 or found[0].lower() not in names:
+                raise Refused(f"only the namespace's tables can be read, not {'.'.join(found)}")
+        elif kind == "UnresolvedTableValuedFunction":
+            name = ".".join(_items(plan.name()))
+            if name.lower() not in _TABLE_FUNCTIONS:
                 raise Refused(f"table function {name} is not allowed")
-        if re.search(r"unresolvedrelation \[(?:global_temp|spark_catalog|system|default)\b", text) or "identifier(" in sql.lower().replace(" ", ""):
-            raise Refused("only the namespace's tables can be read")
+        for e in _expressions(plan):
+            if _kind(e) == "UnresolvedFunction":
+                parts = _items(e.nameParts())
+                if len(parts) != 1 or parts[0].lower() in _DENIED:
+                    raise Refused(f"function {'.'.join(parts)} is not allowed")
+            elif _kind(e) == "UnresolvedGenerator" and e.name().funcName().lower() not in _TABLE_FUNCTIONS:
+                raise Refused(f"function {e.name().funcName()} is not allowed")
+            elif "Identifier" in _kind(e):
+                raise Refused("names are written out, not computed")
+            if _kind(e) in _SUBQUERIES:
+                self._check(e.plan(), names)
+            elif "Subquery" in _kind(e) and _kind(e) != "InSubquery":
+                raise Refused(f"{_kind(e)} is not allowed")
+        for child in _items(plan.children()):
+            self._check(child, names)
+
+    def _pruned(self, plan) -> dict[str, list[ColumnRange]]:
+        """Bounds that the statement's own filters put on tables that it names once."""
+        named, filtered, todo = [], {}, [plan]
+        while todo:
+            node = todo.pop()
+            if _kind(node) == "UnresolvedRelation":
+                named.append(_items(node.multipartIdentifier())[-1].lower())
+            if _kind(node) == "UnresolvedWith":
+                todo += [cte._2() for cte in _items(node.cteRelations())]
+            if _kind(node) == "Filter":
+                below, alias = node.child(), None
+                if _kind(below) == "SubqueryAlias":
+                    below, alias = below.child(), below.alias()
+                if _kind(below) == "UnresolvedRelation":
+                    name = _items(below.multipartIdentifier())[-1].lower()
+                    filtered[name] = (node.condition(), alias or name)
+            todo += _items(node.children()) + [e.plan() for e in _expressions(node) if _kind(e) in _SUBQUERIES]
+        out = {}
+        for name, ht in self.tables.items():
+            if named.count(name.lower()) == 1 and name.lower() in filtered:
+                condition, alias = filtered[name.lower()]
+                ints = [f.name for f in ht.columns.physical if f.dataType.simpleString() == "bigint"]
+                if found := bounds_of(condition, ints, alias):
+                    out[name] = found
+        return out
 
     def sql(self, sql: str) -> DataFrame:
-        sql = re.sub(r"\binformation_schema\s*\.\s*(tables|columns)\b", r"information_schema_\1", sql, flags=re.I)
-        self.check(sql)
+        sql = _QUOTED.sub(lambda m: m[1] or f"information_schema_{m[2].lower()}", sql)
+        pruned = self._pruned(self.check(sql))
         try:
+            for name, ranges in pruned.items():
+                self._view(name, [*self.ranges.get(name, ()), *ranges])
             return self.spark.sql(sql)
         except Exception as e:
             raise QueryError(str(e).strip().splitlines()[0]) from None
+        finally:
+            for name in pruned:  # a view is resolved when the statement is
+                self._view(name, self.ranges.get(name, ()))
 
 
 @dataclass(frozen=True)

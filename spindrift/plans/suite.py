@@ -7,7 +7,6 @@ text is given beside it.  Every result has a total order or is compared as a set
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -161,7 +160,7 @@ for _name, _sql, *_other in [
     ("join_full", "SELECT s_suppkey, c_custkey FROM {supplier} FULL JOIN {customer} ON s_suppkey = c_custkey"),
     ("join_cross", "SELECT r_name, n_name FROM {region} CROSS JOIN {nation}"),
     ("join_semi", "SELECT c_custkey FROM {customer} WHERE EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_totalprice > 100000)"),
-    ("join_anti", "SELECT c_custkey FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey)"),
+    ("join_anti", "SELECT c_custkey FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_totalprice > 200000)"),
     ("join_in", "SELECT p_partkey FROM {part} WHERE p_partkey IN (SELECT l_partkey FROM {lineitem} WHERE l_quantity > 49)"),
     ("join_range", "SELECT a.event_id AS a, b.event_id AS b FROM {events} a JOIN {events} b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR"),
     ("join_lateral_max", "SELECT c_custkey, m.last_key FROM {customer} LEFT JOIN (SELECT o_custkey, MAX(o_orderkey) AS last_key FROM {orders} GROUP BY 1) m ON m.o_custkey = c_custkey"),
@@ -186,12 +185,12 @@ for _name, _sql, *_other in [
     ("set_union", "SELECT c_nationkey AS k FROM {customer} UNION SELECT s_nationkey FROM {supplier}"),
     ("set_union_all", "SELECT c_nationkey AS k FROM {customer} UNION ALL SELECT s_nationkey FROM {supplier}"),
     ("set_intersect", "SELECT c_custkey AS k FROM {customer} INTERSECT SELECT o_custkey FROM {orders}"),
-    ("set_except", "SELECT c_custkey AS k FROM {customer} EXCEPT SELECT o_custkey FROM {orders}"),
+    ("set_except", "SELECT c_custkey AS k FROM {customer} EXCEPT SELECT o_custkey FROM {orders} WHERE o_totalprice > 200000"),
     ("set_intersect_all", "SELECT c_nationkey AS k FROM {customer} INTERSECT ALL SELECT s_nationkey FROM {supplier}"),
     ("set_except_all", "SELECT c_nationkey AS k FROM {customer} EXCEPT ALL SELECT s_nationkey FROM {supplier}"),
     ("cte_recursive", "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 20) SELECT n, (SELECT COUNT(*) FROM {nation} WHERE n_nationkey < n) AS c FROM t", "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 20) SELECT n, c.c FROM t, LATERAL (SELECT COUNT(*) AS c FROM {nation} WHERE n_nationkey < t.n) c"),
     ("values_distinct", "SELECT DISTINCT l_returnflag, l_linestatus FROM {lineitem}"),
-    ("nulls_last", "SELECT c_custkey, MIN(o_orderkey) AS k FROM {customer} LEFT JOIN {orders} ON c_custkey = o_custkey GROUP BY 1 ORDER BY 2 NULLS LAST, 1 LIMIT 50"),
+    ("nulls_last", "SELECT c_custkey, MIN(o_orderkey) AS k FROM {customer} LEFT JOIN {orders} ON c_custkey = o_custkey GROUP BY 1 ORDER BY 2 NULLS LAST, 1"),
     ("pricing_summary", "SELECT l_returnflag, l_linestatus, ROUND(SUM(l_quantity), 2) AS q, ROUND(SUM(l_extendedprice), 2) AS p, ROUND(AVG(l_discount), 6) AS d, COUNT(*) AS c FROM {lineitem} WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY 1, 2"),
     # Scalar functions
     ("fn_string", "SELECT n_nationkey, lower(n_name) AS lo, upper(n_name) AS up, ltrim(concat(' ', n_name)) AS lt, rtrim(concat(n_name, ' ')) AS rt, substr(n_name, 2, 3) AS ss, left(n_name, 2) AS le, right(n_name, 2) AS ri, replace(n_name, 'A', 'x') AS rp, translate(n_name, 'AE', 'ae') AS tr, lpad(n_name, 12, '*') AS lp, rpad(n_name, 12, '*') AS rd, repeat(n_name, 2) AS rr, reverse(n_name) AS rv, concat_ws('-', n_name, 'x') AS cw, CAST(ascii(n_name) AS BIGINT) AS ac, chr(65) AS ch, CAST(levenshtein(n_name, 'PERU') AS BIGINT) AS lv, CAST(length(n_name) AS BIGINT) AS ln, contains(n_name, 'AN') AS cn FROM {nation}"),
@@ -240,7 +239,9 @@ _COLUMNS = TableColumns.parse(
 
 
 def _root(spark: SparkSession) -> str:
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at:
+        raise RuntimeError("spark.checkpoint.dir names no folder for the lake's files")
     return f"{at if ':' in at else 'file://' + at}/lake-{uuid.uuid4().hex}"
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -71,10 +71,22 @@ def decode(raw: DataFrame, ht: Hypertable, now: int, cfg: IngestConfig = IngestC
 class Ingest:
     """Writes micro-batches of (topic, partition, offset, value) to a hypertable."""
 
-    def __init__(self, spark: SparkSession, catalog: Catalog, root: str, hypertable: str | int, clock_ms, cfg: IngestConfig = IngestConfig()):
+    def __init__(self, spark: SparkSession, catalog: Catalog, root: str, hypertable: str | int, clock_ms, cfg: IngestConfig = IngestConfig(), relieve: Callable[[], object] | None = None):
         self.spark, self.catalog, self.root, self.cfg, self.clock_ms = spark, catalog, root, cfg, clock_ms
         self.ht = catalog.hypertable(hypertable)
-        self.skipped, self.freshest = 0, None
+        self.skipped, self.freshest, self.deferrals, self.relieve = 0, None, 0, relieve
+
+    def _admit(self, rows: int) -> None:
+        """Hold the source back while level 0 is too full: each deferral runs `relieve` (a compaction, or a wait)
+        once.  Without `relieve`, or where it does not shrink level 0 any more, the batch is written all the same."""
+        deferred, before = 0, None
+        while self.relieve is not None:
+            l0 = sum(p.level == 0 for p in self.catalog.live_parts(self.ht.id))
+            if flush_decision(l0, deferred, rows, self.cfg) == FLUSH or l0 == before:
+                return
+            self.relieve()
+            deferred, before = deferred + 1, l0
+            self.deferrals += 1
 
     def batch(self, records: DataFrame, batch_id: int | None = None) -> CommitResult | None:
         """Commit one micro-batch: parts and offsets in one transaction, identified by the offsets.
@@ -91,6 +103,7 @@ class Ingest:
             identity = ingest_identity(self.ht.id, ranges)
             if (done := self.catalog.lookup(identity)) is not None:
                 return CommitResult(done, False)
+            self._admit(sum(r["n"] for r in seen))
             parts = write(self.spark, self.catalog, self.ht, self.root, decode(records, self.ht, self.clock_ms(), self.cfg))
             result = self.catalog.commit(self.ht.id, parts, identity=identity, offsets=ranges)
             self.skipped += sum(r["n"] for r in seen) - sum(p.rows for p in parts)
@@ -108,11 +121,11 @@ class Ingest:
 def json_lines(spark: SparkSession, path: str, topic: str = "files") -> DataFrame:
     """A folder of JSON lines as a stream of records.
 
-    A file is a source partition (numbered by the crc of its name); a line's offset is its place by byte
-    blocks of the file, which a replay finds again.
+    A file is a source partition, numbered by a hash of its whole path, length and time of change (folders
+    repeat names); a line's offset is its place by byte blocks of the file, which a replay finds again.
     """
-    lines = spark.readStream.text(path).select("value", F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_block_start").alias("block"))
-    return lines.select(F.lit(topic).alias("topic"), F.crc32(F.col("name").cast("binary")).alias("partition"), F.col("block").alias("offset"), "value")
+    file = F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+    return spark.readStream.option("recursiveFileLookup", "true").text(path).select(F.lit(topic).alias("topic"), file.bitwiseAND((1 << 63) - 1).alias("partition"), F.col("_metadata.file_block_start").alias("offset"), "value")
 
 
 def kafka(spark: SparkSession, servers: str, topic: str, catalog: Catalog, hypertable: int, partitions: Iterable[int], owned: Iterable[int] | None = None) -> DataFrame:
