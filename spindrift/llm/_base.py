@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -64,6 +66,21 @@ def discard(spark: SparkSession, *tables: DataFrame) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def lean(run):
+    """`run`, an iterator over batches, giving its memory back when it ends: workers are used again, and what
+    one task freed would else stay with the process beside the executor's heap."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # another C library
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
+
+
 def runs(batches: Iterator[pa.RecordBatch], most: int = 1 << 16, cap: int | None = None) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of whole runs of equal values in the first column (sorted), and where runs begin and end.
 

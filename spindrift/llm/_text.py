@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-BLOCK_BYTES = 1 << 20  # text of one numpy pass; a single longer text makes a block of its own
+BLOCK_BYTES = 1 << 19  # text of one numpy pass; a single longer text makes a block of its own
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._base import discard, runs, small_batches, staged, table
+from ._base import discard, lean, runs, small_batches, staged, table
 from ._text import _SPACE, U, _power, blocks, mix
 
 EDITS = 2
@@ -93,7 +93,7 @@ def _occurrences(least: int, shortest: int):
                 on = _counted(x, least, shortest)
                 yield pa.RecordBatch.from_arrays([pa.array(x.hashed(x.start[on], x.end[on]).astype(np.int64)), pa.array(docs[low:high][x.text[on]]), pa.array(texts[low:high][x.text[on]]), pa.array(x.number[on].astype(np.int32))], names=["line", "doc", "text", "number"])
 
-    return run
+    return lean(run)
 
 
 def _counted(x: _Lines, least: int, shortest: int) -> np.ndarray:
@@ -138,7 +138,7 @@ def _keys(least: int, edits: int):
                             put((start + p + shift)[fits], size[fits], length[fits], i, fits, True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.concatenate(lines).astype(np.int64)), pa.array(np.concatenate(parities).astype(np.int64)), pa.array(np.concatenate(probes).astype(bool))], names=["key", "line", "parity", "probe"])
 
-    return run
+    return lean(run)
 
 
 def _alike(p: np.ndarray, q: np.ndarray, edits: int) -> np.ndarray:
@@ -184,7 +184,7 @@ def _meet(edits: int, most: int):
             columns = [np.repeat([False, True], (n, m)), np.concatenate((a, key[rest])), np.concatenate((b, line[rest])), np.concatenate((np.zeros(n, np.int64), parity[rest])), np.concatenate((np.zeros(n, bool), probe[rest]))]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["hot", "a", "b", "parity", "probe"])
 
-    return run
+    return lean(run)
 
 
 def _chosen(least: int, bitmap: np.ndarray):
@@ -203,7 +203,7 @@ def _chosen(least: int, bitmap: np.ndarray):
                 raw = x.data.tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array(line.astype(np.int64)), pa.array([raw[a:b] for a, b in zip(x.start[on].tolist(), x.end[on].tolist(), strict=True)], pa.binary())], names=["line", "bytes"])
 
-    return run
+    return lean(run)
 
 
 def within(a: bytes, b: bytes, edits: int) -> bool:
@@ -255,7 +255,7 @@ def _verified(edits: int):
             keep = [within(a, b, edits) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return run
+    return lean(run)
 
 
 def _cells(edits: int):
@@ -282,7 +282,7 @@ def _cells(edits: int):
             a, b = zip(*out, strict=True) if out else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return run
+    return lean(run)
 
 
 def _within_hot_keys(spark: SparkSession, hot: DataFrame, lines: DataFrame, first: DataFrame, edits: int) -> DataFrame:

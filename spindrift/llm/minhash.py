@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._base import components, discard, runs, small_batches, staged, table
+from ._base import components, discard, lean, runs, small_batches, staged, table
 from ._text import U, mix, shingle_sets
 
 COORDS = 64
@@ -74,7 +74,7 @@ def _signatures(words: int):
                 names=["doc", "hash", "n", "f1", "f2", "sig", "marks"],
             )
 
-    return run
+    return lean(run)
 
 
 def _confirm(words: int, percent: int):
@@ -86,7 +86,7 @@ def _confirm(words: int, percent: int):
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return run
+    return lean(run)
 
 
 def _members(percent: int):
@@ -123,7 +123,7 @@ def _members(percent: int):
                 keep[at[same] + step] = True
             yield pa.RecordBatch.from_arrays([pa.array(lists[keep]), pa.array(node[keep])], names=["list", "node"])
 
-    return run
+    return lean(run)
 
 
 def _samples(words: int, most: int | None):
@@ -141,7 +141,7 @@ def _samples(words: int, most: int | None):
                 values.append(high[: max(1, np.searchsorted(high, 1 << (32 - level)))].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(levels, pa.int32()), pa.array(values, pa.binary())], names=["node", "level", "values"])
 
-    return run
+    return lean(run)
 
 
 def _compared(percent: int):
@@ -200,7 +200,7 @@ def _compared(percent: int):
             columns = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["list", "a", "b"])
 
-    return run
+    return lean(run)
 
 
 def _each_once(lists: DataFrame) -> DataFrame:

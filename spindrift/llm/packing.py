@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._base import small_batches, staged, table
+from ._base import lean, small_batches, staged, table
 from ._text import _VALUE, U, _power, blocks, mix
 
 SEQUENCE = 2048
@@ -166,7 +166,7 @@ def _pieces(path: str, sequence: int, end_id: int):
                         out.append((doc, at, len(part), zlib.crc32(part.tobytes()), len(mine)))
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], schema=schema)
 
-    return run
+    return lean(run)
 
 
 def _greedy(size: np.ndarray, demand: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:

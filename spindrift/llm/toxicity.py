@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import small_batches, staged, table
+from ._base import lean, small_batches, staged, table
 
 BUCKETS = 1 << 20
 FEATURES = 2048
@@ -31,7 +31,7 @@ RANK = 8
 SAMPLE = 8_000  # labelled rows that a fit sees at most
 GRAM = 5
 LEAST_CHI2 = 12.0
-_CACHE = 100_000  # distinct words whose terms a worker remembers
+_CACHE = 50_000  # distinct words whose terms a worker remembers
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -132,7 +132,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id: str = "do
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).where("text is not null")
     # `chosen` has at most `sample` rows of 12 bytes.
     found = rows.join(F.broadcast(chosen), "id").select("id", "y", "text")
-    got = found.mapInArrow(_presence, "id long, y int, terms array<int>").toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
+    got = found.mapInArrow(lean(_presence), "id long, y int, terms array<int>").toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
     terms = got["terms"].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
     lengths = np.asarray(pc.list_value_length(terms), np.int64)
     return fit(np.asarray(got["y"], np.float64), np.asarray(pc.list_flatten(terms), np.int64), lengths)
@@ -161,7 +161,7 @@ def _score(model: Model):
             z, _ = _raw(np.array(flat, np.int64), np.repeat(np.arange(n), size), n, model.w0, model.w, model.v)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_sigmoid(z + np.zeros(n)))], names=["doc", "score"])
 
-    return run
+    return lean(run)
 
 
 def score(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -200,4 +200,4 @@ def harmless(docs: DataFrame, model: Model, at: float = 0.5) -> DataFrame:
             for out in rate([two]):
                 yield batch.filter(pc.less(out.column(1), at))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
