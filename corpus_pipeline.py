@@ -45,7 +45,7 @@ STAGES = [
     ("packing", _packing),
 ]
 
-# A factorization machine and column generation have no SQL; test_pipeline_stages holds each stage against brute force.
+# A factorization machine and column generation have no SQL.  The operators are tested by themselves in tests/llm.
 ORACLE_SQL = None
 
 
