@@ -527,3 +527,31 @@ def test_reputation_matches_sql(spark):
     names = [d[0] for d in found.description]
     df = reputation.op7_host_reputation(spark, "/root/testdata/sf0.01").select(names)
     assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, found.fetchall()))
+
+
+def test_passages_of_texts_that_repeat_themselves():
+    """Many shifts of a repetitive text: a passage met on one of them is found, and all that is found is alike."""
+    rng = np.random.default_rng(8)
+    noise = lambda n: rng.integers(1, 1 << 60, n).astype(np.uint64)
+    chorus, passage = noise(3), noise(80)
+    near = passage.copy()
+    near[40] = noise(1)[0]
+    a = np.concatenate((np.tile(chorus, 200), passage, np.full(300, chorus[0]), noise(200)))
+    b = np.concatenate((np.tile(chorus[::-1], 60), near, np.full(120, noise(1)[0])))
+    met = [(f, x, y, 60, 60) for f in range(2) for x in range(80, 1000, 7) for y in range(70, 240, 17)]
+    got = passages.verify(a, b, [*met, *((f, 640, 220, 40, 39) for f in range(2))])
+    assert any(p <= 600 and q >= 680 and u <= 180 and v >= 260 for p, q, u, v in got), got
+    for p, q, u, v in got:
+        s, t = set(a[p:q].tolist()), set(b[u:v].tolist())
+        assert min(q - p, v - u) >= 46 and len(s & t) >= 0.8 * len(s | t)
+
+
+def test_passages_repeated_ids_and_empty(spark):
+    """Rows of one id with texts of unlike lengths do not break the rounds; empty tables and texts give nothing."""
+    words = [f"w{k}" for k in range(400)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[100:300])), (2, " ".join(words[100:170])), (3, ""), (4, None), (None, " ".join(words))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = passages.repeated_passages(spark, docs).collect()
+    assert {r.doc_id for r in got} == {2} and {r.first_doc_id for r in got} == {1}
+    assert passages.repeated_passages(spark, docs.where("doc_id = 3")).collect() == []
+    assert passages.repeated_passages(spark, docs.limit(0)).collect() == []
