@@ -44,6 +44,23 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, ROWS)
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def _shuffles_end(spark: SparkSession):
+    """Shuffle files go when the write is done, not when the driver's JVM next collects garbage."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def staged(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Write `df` to a table in the shared folder and read it back: lineage ends there, and a lost
     executor costs a reread, not a recomputation.
@@ -52,7 +69,8 @@ def staged(spark: SparkSession, df: DataFrame) -> DataFrame:
     """
     path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    df.write.parquet(path)
+    with _shuffles_end(spark):
+        df.write.parquet(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged = path
