@@ -3,16 +3,21 @@
 The standard library's parser streams events; block-level tags cut the page into lines.  A line's ratio is
 its text length over the tags in it.  Lines inside menus, headers, footers, sidebars, notices, adverts, forms
 and reader comments (by element, role, class or id) have ratio 0.  The ratios are smoothed by a Gaussian and
-clustered into two by an iterated threshold; lines over it are content.  Content votes for the innermost
-<article> or <main> that holds it: those with votes are given whole, without their boilerplate lines, so
-that short paragraphs and headings between long ones survive.  Content outside any such element is given as
-the run of lines around it, up to boilerplate.
+clustered into two by an iterated threshold; lines over it are content.
+
+- A container whose class or id only contains a boilerplate word among others ("has-sidebar", "social-science")
+  is pardoned if it holds most of the content, unless there is an article with text outside it.
+- Content votes for the innermost <article> or <main> that holds it: those with votes are given whole, without
+  their boilerplate lines, so that short paragraphs and headings between long ones survive.
+- On pages without them, content chooses the innermost container with four fifths of it, which is given
+  likewise but for lines of links before the first and after the last line of content.
 """
 
 from __future__ import annotations
 
 import re
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -38,30 +43,66 @@ _NAMES = set(
     "disqus footer header masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pagination "
     "popup promo promotion related respond share sharing sidebar skip social sponsor sponsored subscribe toolbar widget".split()
 )
+# Words that say where or what shape a container is, not what it holds.
+_PLACES = set("area bar block bottom box container item left list main page right section site slot top unit wrap wrapper".split())
+_MODIFIERS = {"has", "no", "not", "with", "without"}
+_REGIONS = {"article", "blockquote", "body", "center", "div", "html", "main", "section", "td"}
 _CUT = re.compile(r"[\s_\-]+|(?<=[a-z])(?=[A-Z])")
+SURE, MAYBE = 2, 1
+
+
+def _named(token: str) -> int:
+    parts = [x.lower() for x in _CUT.split(token) if x]
+    if token.lower() in _NAMES:
+        return SURE
+    if not any(x in _NAMES for x in parts):
+        return 0
+    return SURE if all(x in _NAMES or x in _PLACES for x in parts) and parts[0] not in _MODIFIERS else MAYBE
 
 
-def _boilerplate(tag: str, attrs: dict[str, str | None], inside: bool) -> bool:
+def _boilerplate(tag: str, attrs: dict[str, str | None], inside: bool) -> int:
+    """Whether an element is boilerplate: SURE, MAYBE (by a word in a name) or 0."""
     if tag in _SKIP or (tag == "header" and not inside):
-        return True
+        return SURE
     if not attrs or tag in ("html", "body", "article", "main"):
-        return False
+        return 0
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in (attrs.get("style") or "").replace(" ", "").lower():
-        return True
+        return SURE
     if (attrs.get("role") or "").lower() in _ROLES:
-        return True
-    return any(x.lower() in _NAMES for name in ("class", "id") for x in _CUT.split(attrs.get(name) or ""))
+        return SURE
+    return max((_named(x) for name in ("class", "id") for x in (attrs.get(name) or "").split()), default=0)
+
+
+class Line(NamedTuple):
+    text: str
+    tags: int
+    dull: bool  # surely boilerplate
+    maybe: int  # innermost container that may be boilerplate; 0: none
+    article: int  # innermost article or main; 0: none
+    region: int  # innermost container
+    linked: int  # length of what is within links
+
+
+class Open(NamedTuple):
+    tag: str
+    dull: bool = False
+    maybe: int = 0
+    article: int = 0
+    region: int = 0
+    link: bool = False
 
 
 class Page(HTMLParser):
-    """Lines of a page: text, tags, whether boilerplate, and the number of the innermost article or main."""
+    """Lines of a page.  Articles, containers and what may be boilerplate are numbered from 1 as they open;
+    `above` and `around` have the number next outside, of the containers and of the others in turn."""
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, int]] = []
-        self.open: list[tuple[str, bool, int]] = []  # tag, boilerplate so far, innermost article
+        self.lines: list[Line] = []
+        self.open: list[Open] = []
         self.parts: list[str] = []
-        self.tags = self.articles = 0
+        self.above, self.around = [0], [0]
+        self.tags = self.articles = self.linked = 0
         self.feed(html)
         self.close()
         self._line()
@@ -73,17 +114,17 @@ class Page(HTMLParser):
     def _line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            _, dull, article = self.open[-1] if self.open else ("", False, 0)
-            self.lines.append((text, self.tags, dull, article))
+            at = self.open[-1] if self.open else Open("")
+            self.lines.append(Line(text, self.tags, at.dull, at.maybe, at.article, at.region, self.linked))
             self.tags = 0
-        self.parts = []
+        self.parts, self.linked = [], 0
 
     def _pop(self, names: set[str], until: set[str]) -> None:
         for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] in names:
+            if self.open[k].tag in names:
                 del self.open[k:]
                 return
-            if self.open[k][0] in until:
+            if self.open[k].tag in until:
                 return
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -97,7 +138,7 @@ class Page(HTMLParser):
         self.tags += 1
         if tag in _VOID:
             return
-        _, dull, article = self.open[-1] if self.open else ("", False, 0)
+        _, dull, maybe, article, region, link = self.open[-1] if self.open else Open("")
         named = {k: v for k, v in reversed(attrs)}
         # An inline element that is boilerplate makes a line of its own, so that its text can be told apart.
         mine = _boilerplate(tag, named, article > 0)
@@ -106,7 +147,13 @@ class Page(HTMLParser):
         if tag in ("article", "main"):
             self.articles += 1
             article = self.articles
-        self.open.append((tag, dull or mine, article))
+        if tag in _REGIONS:
+            self.above.append(region)
+            region = len(self.above) - 1
+        if mine == MAYBE and not dull:
+            self.around.append(maybe)
+            maybe = len(self.around) - 1
+        self.open.append(Open(tag, dull or mine == SURE, maybe, article, region, link or tag == "a"))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -114,18 +161,20 @@ class Page(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        at = next((k for k in range(len(self.open) - 1, -1, -1) if self.open[k][0] == tag), None)
-        if tag in _BLOCK or at is not None and self.open[at][1] != (self.open[at - 1][1] if at else False):
+        at = next((k for k in range(len(self.open) - 1, -1, -1) if self.open[k].tag == tag), None)
+        if tag in _BLOCK or at is not None and self.open[at][1:3] != (self.open[at - 1][1:3] if at else (False, 0)):
             self._line()
         if at is not None:
             # A stray inline end tag does not close the blocks around it.
-            if tag in _BLOCK or not any(x[0] in _BLOCK for x in self.open[at + 1 :]):
+            if tag in _BLOCK or not any(x.tag in _BLOCK for x in self.open[at + 1 :]):
                 del self.open[at:]
             else:
                 del self.open[at]
 
     def handle_data(self, data: str) -> None:
         self.parts.append(data)
+        if self.open and self.open[-1].link:
+            self.linked += len(data.strip())
 
 
 def threshold(x: np.ndarray) -> float:
@@ -142,30 +191,73 @@ def threshold(x: np.ndarray) -> float:
     return at
 
 
-def main_text(html: str | None) -> str:
-    """The main text: blocks in page order, one a line.  Null and empty pages have none."""
-    if not html:
-        return ""
-    lines = Page(html).lines
-    ratio = np.array([0.0 if dull else len(text) / max(tags, 1) for text, tags, dull, _ in lines])
-    if not len(ratio) or not ratio.any():
-        return ""
+def _content(lines: list[Line], dull: np.ndarray) -> np.ndarray:
+    """Which lines are content, by their smoothed text-to-tag ratio."""
+    ratio = np.array([0.0 if off else len(x.text) / max(x.tags, 1) for x, off in zip(lines, dull, strict=True)])
+    if not ratio.any():
+        return np.zeros(len(lines), bool)
     reach = int(3 * SIGMA)
     bell = np.exp(-0.5 * (np.arange(-reach, reach + 1) / SIGMA) ** 2)
     smooth = np.convolve(np.pad(ratio, reach), bell / bell.sum(), "valid")
     content = (smooth >= threshold(smooth)) & (ratio > 0)
+    return content if content.any() else ratio == ratio.max()
+
+
+def _pardoned(page: Page, dull: np.ndarray, content: np.ndarray) -> set[int]:
+    """What may be boilerplate by a name but holds most of the content."""
+    size = np.zeros(len(page.around))
+    inside: list[set[int]] = [set() for _ in page.around]  # articles with text
+    for k in np.flatnonzero(~dull):
+        line = page.lines[k]
+        at = line.maybe
+        while at:
+            size[at] += len(line.text) * content[k]
+            inside[at].add(line.article)
+            at = page.around[at]
+    articles = {page.lines[k].article for k in np.flatnonzero(~dull)} - {0}
+    total = sum(len(page.lines[k].text) for k in np.flatnonzero(content))
+    return {at for at in range(1, len(size)) if 2 * size[at] > total and not articles - inside[at]}
+
+
+def _region(page: Page, content: np.ndarray) -> set[int]:
+    """The innermost container with four fifths of the content, and all containers in it.  One with a single
+    line of several is but a wrapper of that line."""
+    size, count = np.zeros(len(page.above)), np.zeros(len(page.above), int)
+    for k in np.flatnonzero(content):
+        size[page.lines[k].region] += len(page.lines[k].text)
+        count[page.lines[k].region] += 1
+    for at in range(len(size) - 1, 0, -1):
+        size[page.above[at]] += size[at]
+        count[page.above[at]] += count[at]
+    top = int(np.flatnonzero((size >= 0.8 * size[0]) & (count >= min(2, count[0])))[-1])
+    held = {top}
+    for at in range(top + 1, len(size)):
+        if page.above[at] in held:
+            held.add(at)
+    return held
+
+
+def main_text(html: str | None) -> str:
+    """The main text: blocks in page order, one a line.  Null and empty pages have none."""
+    page = Page(html or "")
+    lines = page.lines
+    dull = np.array([x.dull for x in lines], bool)
+    content = _content(lines, dull)
+    if any(x.maybe for x in lines):
+        pardoned = _pardoned(page, dull, content)
+        guilty = [False]
+        for at in range(1, len(page.around)):
+            guilty.append(at not in pardoned or guilty[page.around[at]])
+        dull |= np.array([guilty[x.maybe] for x in lines], bool)
+        content = _content(lines, dull)
     if not content.any():
-        content = ratio == ratio.max()
-    voted = {lines[k][3] for k in np.flatnonzero(content)}
-    if voted - {0}:
-        return "\n".join(text for text, _, dull, article in lines if not dull and article in voted - {0})
+        return ""
+    voted = {lines[k].article for k in np.flatnonzero(content)} - {0}
+    if voted:
+        return "\n".join(x.text for x, off in zip(lines, dull, strict=True) if not off and x.article in voted)
+    held = _region(page, content)
     first, last = np.flatnonzero(content)[[0, -1]]
-    # Short lines at the region's ends belong to it, up to the boilerplate around.
-    while first and not lines[first - 1][2]:
-        first -= 1
-    while last + 1 < len(lines) and not lines[last + 1][2]:
-        last += 1
-    return "\n".join(text for text, _, dull, _ in lines[first : last + 1] if not dull)
+    return "\n".join(x.text for k, x in enumerate(lines) if not dull[k] and x.region in held and (content[k] or first < k < last or 2 * x.linked < len(x.text)))
 
 
 def _texts(batches):
