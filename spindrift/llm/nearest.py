@@ -2,8 +2,9 @@
 
 1. Fit, on at most `SAMPLE` vectors (those with the least hash of the id): the exact neighbour graph, a
    balanced partition of it (projection halves, then moves to the part of most neighbours while there is
-   room), and a softmax classifier from vector to part.  The number of parts a query probes is the least that
-   finds `GOAL` of the sample's own neighbours.
+   room), and a softmax classifier from a vector to the parts that hold it and its neighbours.  The number of
+   parts a query probes is the least that finds `GOAL` of the neighbours of vectors the classifier was not
+   trained on.
 2. Index: every vector goes to its most probable part.  Parts are dealt in blocks of about `BLOCK` rows, so
    that a part that holds a third of all vectors is many blocks.
 3. Search: a query goes to all blocks of its most probable parts; each block returns its best rows in double
@@ -26,9 +27,10 @@ from ._base import staged, table
 
 SAMPLE = 8192
 PART_ROWS = 4096  # rows of a part aimed at: what a part returns for a query is few of them
+LEAST_PARTS = 16  # of any table with the vectors to fit them
 LEAST_FIT = 24  # sampled vectors for a part, at least
 GRAPH = 10  # neighbours in the graph
-GOAL = 0.97
+GOAL = 0.95
 BLOCK, QUERIES = 4096, 512
 
 
@@ -93,29 +95,34 @@ def partition_graph(x: np.ndarray, graph: np.ndarray, parts: int, slack: float =
 def fit(x: np.ndarray, rows: int, top: int = 20, epochs: int = 40) -> Partitions:
     """Partitions for an index of `rows` vectors, from the sample `x`."""
     n, d = x.shape
-    parts = max(1, min(-(-rows // PART_ROWS), n // LEAST_FIT))
+    parts = max(1, min(max(LEAST_PARTS, -(-rows // PART_ROWS)), n // LEAST_FIT))
     if parts == 1:
         return Partitions(np.zeros((d + 1, 1)), 1)
     scale = np.sqrt((x**2).mean()) or 1.0
     ones = np.concatenate((x / scale, np.ones((n, 1))), 1)
-    part = partition_graph(x, _neighbours(x, min(GRAPH, n - 1)), parts)
+    graph = _neighbours(x, min(GRAPH, n - 1))
+    part = partition_graph(x, graph, parts)
+    # What a vector should be routed to: its own part, and those of its neighbours as far as they lie there.
+    wish = np.zeros((n, parts))
+    np.add.at(wish, (np.repeat(np.arange(n), graph.shape[1]), part[graph].ravel()), 0.5 / graph.shape[1])
+    wish[np.arange(n), part] += 0.5
     w, m1, m2, t = np.zeros((d + 1, parts)), 0.0, 0.0, 0
     rng = np.random.default_rng(6)
+    asked = np.arange(0, n, max(8, n // 1024))  # held out of the classifier
+    seen = np.setdiff1d(np.arange(n), asked)
     for _ in range(epochs):
-        for rows_ in np.array_split(rng.permutation(n), max(1, n // 256)):
+        for rows_ in np.array_split(rng.permutation(seen), max(1, n // 256)):
             z = ones[rows_] @ w
             z = np.exp(z - z.max(1, keepdims=True))
             z /= z.sum(1, keepdims=True)
-            z[np.arange(len(rows_)), part[rows_]] -= 1
-            g = ones[rows_].T @ z / len(rows_) + 1e-4 * w
+            g = ones[rows_].T @ (z - wish[rows_]) / len(rows_) + 1e-4 * w
             t += 1
             m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
             w = w - 0.05 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-8)
-    # Probes: the least number of parts that hold GOAL of the sample's neighbours, as they will be indexed.
+    # Probes: the least number of parts that hold GOAL of the neighbours, as they will be indexed.
     z = ones @ w
     at, rank = z.argmax(1), np.zeros((n, parts), np.int64)
     np.put_along_axis(rank, np.argsort(-z, 1, kind="stable"), np.arange(parts)[None, :], 1)
-    asked = np.arange(0, n, max(1, n // 1024))
     near = _neighbours(x, min(top, n - 1))[asked]
     depth = np.sort(rank[asked[:, None], at[near]].ravel())
     probes = int(depth[min(len(depth) - 1, int(np.ceil(GOAL * len(depth))))]) + 1
