@@ -2,7 +2,8 @@
 
 Terms of a text are its distinct lower-cased words and the 5-grams of `^word$`, hashed to `BUCKETS`
 buckets.  The machine is fitted on at most `SAMPLE` labelled rows (those with the least hash of the id):
-the buckets whose presence tells the classes apart best (chi square) become its features, and
+the buckets whose presence tells the classes apart best (chi square) become its features, with those that do
+so only in pairs (`_paired`), and
 
     score = sigmoid(w0 + sum w_i + sum_{i<j} <v_i, v_j>)
 
@@ -31,6 +32,9 @@ RANK = 8
 SAMPLE = 8_000  # labelled rows that a fit sees at most
 GRAM = 5
 LEAST_CHI2 = 12.0
+PAIR_TERMS = 1024  # the terms tried in pairs: those whose presence varies most
+PAIR_FEATURES = 256  # of them become features at most
+LEAST_PAIR = 36.0  # squared standard errors of a pair's interaction; half a million pairs are tried
 _CACHE = 50_000  # distinct words whose terms a worker remembers
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -79,6 +83,41 @@ def _raw(flat, row, n, w0, w, v):
     return w0 + (np.bincount(row, w[flat], n) if len(flat) else 0) + 0.5 * ((sums**2).sum(1) - squares), sums
 
 
+def _paired(y: np.ndarray, flat: np.ndarray, row: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Buckets that tell something in pairs: the log odds of label 1 with both terms present are far from what
+    the terms give one by one.  `a` and `b` count the rows of label 1 and 0 with each bucket."""
+    n, p = len(y), float(y.sum())
+    spread = (a + b) * (n - a - b)
+    terms = np.sort(np.lexsort((np.arange(BUCKETS), -spread))[:PAIR_TERMS])
+    terms = terms[spread[terms] > 0]
+    at = np.full(BUCKETS, -1)
+    at[terms] = np.arange(len(terms))
+    keep = at[flat] >= 0
+    flat, row = at[flat[keep]], row[keep]
+    both = np.zeros((2, len(terms), len(terms)), np.float32)  # rows of label 0 and 1 with both terms
+    for low in range(0, n, 512):
+        some = slice(*np.searchsorted(row, (low, low + 512)))
+        x = np.zeros((min(512, n - low), len(terms)), np.float32)
+        x[row[some] - low, flat[some]] = 1
+        for label in (0, 1):
+            mine = x[y[low : low + 512] == label]
+            both[label] += mine.T @ mine
+    best = np.zeros(len(terms))
+    for low in range(0, len(terms), 128):
+        odds, error = 0.0, 0.0
+        for label, one, rows, sign in ((1, a[terms], p, 1), (0, b[terms], n - p, -1)):
+            c11 = both[label, low : low + 128]
+            i, j = one[low : low + 128, None], one[None, :]
+            cells = [x + 0.5 for x in (c11, i - c11, j - c11, rows - i - j + c11)]
+            odds = odds + sign * (np.log(cells[0]) - np.log(cells[1]) - np.log(cells[2]) + np.log(cells[3]))
+            error = error + sum(1 / x for x in cells)
+        gain = odds**2 / error
+        gain[np.arange(len(gain)), np.arange(low, low + len(gain))] = 0  # a term with itself
+        best[low : low + 128] = gain.max(1, initial=0)
+    order = np.lexsort((terms, -best))[:PAIR_FEATURES]
+    return terms[order[best[order] >= LEAST_PAIR]]
+
+
 def fit(y: np.ndarray, flat: np.ndarray, lengths: np.ndarray, epochs: int = 30, step: float = 0.05, decay: float = 1e-3) -> Model:
     """Fit on rows with labels `y` and their buckets laid end to end.  One class only: its rate, for all."""
     n, row = len(y), np.repeat(np.arange(len(y)), lengths)
@@ -92,7 +131,7 @@ def fit(y: np.ndarray, flat: np.ndarray, lengths: np.ndarray, epochs: int = 30,
         chi2 = np.nan_to_num(n * (a * (q - b) - b * (p - a)) ** 2 / (p * q * (a + b) * (n - a - b)), posinf=0)
         chi2 = np.where((a + b == n) | (a + b < 3), 0, chi2)
     best = np.lexsort((np.arange(BUCKETS), -chi2))[:FEATURES]
-    best = np.sort(best[chi2[best] >= LEAST_CHI2])
+    best = np.union1d(best[chi2[best] >= LEAST_CHI2], _paired(y, flat, row, a, b))
     at = np.full(BUCKETS, -1)
     at[best] = np.arange(len(best))
     keep = at[flat] >= 0

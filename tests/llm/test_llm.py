@@ -254,6 +254,22 @@ def test_factorization_learns_pairs():
     both = toxicity.fit((a & b).astype(float), np.concatenate(rows), np.array([len(r) for r in rows]), epochs=60)
     f = {int(x): k for k, x in enumerate(both.buckets)}
     assert float(both.v[f[11]] @ both.v[f[22]]) > 0.5
+    # Neither term has a chi square of its own here, beside terms that tell nothing at all.
+    noise = rng.random((4000, 60)) < 0.3
+    a, b = rng.random(4000) < 0.5, rng.random(4000) < 0.5
+    rows = [[*np.flatnonzero(x) + 100, *([11] if p else []), *([22] if q else [])] for x, p, q in zip(noise, a, b, strict=True)]
+    flat, lengths = np.concatenate(rows).astype(np.int64), np.array([len(r) for r in rows])
+    model = toxicity.fit((a ^ b).astype(float), flat, lengths)
+    f = {int(x): k for k, x in enumerate(model.buckets)}
+    assert {11, 22} <= set(f) and len(f) < 20
+    keep = np.isin(flat, model.buckets)
+    row, at = np.repeat(np.arange(4000), lengths)[keep], np.array([f[x] for x in flat[keep].tolist()])
+    z, _ = toxicity._raw(at, row, 4000, model.w0, model.w, model.v)
+    assert ((z > 0) == (a ^ b)).mean() > 0.98
+    for k in range(0, 4000, 371):  # against the sum over pairs, written out
+        mine = at[row == k]
+        pairs = sum(float(model.v[i] @ model.v[j]) for n, i in enumerate(mine) for j in mine[n + 1 :])
+        assert abs(z[k] - (model.w0 + model.w[mine].sum() + pairs)) < 1e-9
 
 
 def test_hilbert_curve():
@@ -350,6 +366,28 @@ def test_nearest(spark):
     assert nearest.search(spark, df.limit(0), df.limit(0)).count() == 0
 
 
+def test_partitions_spare_most_rows():
+    """Vectors with structure: the router finds the neighbours in few of the parts."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6000, 24)) + 4 * rng.normal(size=(40, 24))[rng.integers(0, 40, 6000)]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    model = nearest.fit(x[rng.permutation(6000)[:4000]], 6000)
+    parts = model.weights.shape[1]
+    order = np.argsort(-(x @ model.weights[:-1] + model.weights[-1]), 1)
+    at = order[:, 0]
+    assert parts == nearest.LEAST_PARTS and model.probes < parts and np.bincount(at, minlength=parts).max() < 0.25 * len(x)
+    near = nearest._neighbours(x, 20)[::20]
+    asked = order[::20, : model.probes]
+    assert np.mean([np.isin(at[n], p).mean() for n, p in zip(near, asked, strict=True)]) >= 0.9
+    assert np.mean([np.isin(at, p).mean() for p in asked]) <= 0.5
+
+
+@pytest.mark.parametrize("rows", [0, 1, 2, 47, 48])
+def test_few_vectors_are_one_part(rows):
+    model = nearest.fit(np.eye(64)[:rows], rows)
+    assert model.weights.shape[1] == max(1, rows // nearest.LEAST_FIT) and 1 <= model.probes <= model.weights.shape[1]
+
+
 def test_passages(spark):
     rng = random.Random(9)
     vocabulary = [f"v{k}" for k in range(5000)]
@@ -451,6 +489,25 @@ def test_html():
     assert html.main_text("<p>" + "word " * 200_000) == " ".join(["word"] * 200_000)
 
 
+@pytest.mark.parametrize("wrap", ['<div class="content has-sidebar">{}</div><div class="sidebar">s</div>', '<div id="page" class="social-science">{}</div>', '<div class="ad-free"><article>{}</article></div>'])
+def test_names_that_only_sound_like_boilerplate(wrap):
+    inner = "<h1>Head</h1><p>A long paragraph of the page that matters very much</p><p>Ok.</p>"
+    assert html.main_text(wrap.format(inner)) == "Head\nA long paragraph of the page that matters very much\nOk."
+
+
+def test_names_of_boilerplate_beside_an_article():
+    for name in ("comment-list", "comment-thread", "site-comments"):
+        assert html.main_text(f'<article>Short text.</article><div class="{name}"><p>A comment that is longer than the article by far</p></div>') == "Short text."
+
+
+def test_ratios_choose_the_region(monkeypatch):
+    """Nothing but text and tags tells menu and imprint from the article here."""
+    page = "<body><div><ul><li><a>Home</a></li><li><a>News</a></li></ul></div><div><h1>Title</h1><p>A long paragraph of text goes here and goes on.</p><p>Ok.</p><p>Another long paragraph of text goes here.</p></div><div>Copyright</div></body>"
+    assert html.main_text(page) == "Title\nA long paragraph of text goes here and goes on.\nOk.\nAnother long paragraph of text goes here."
+    monkeypatch.setattr(html, "threshold", lambda x: 0.0)
+    assert html.main_text(page).startswith("Home\nNews\nTitle") and html.main_text(page).endswith("Copyright")
+
+
 def test_html_of_pages(spark):
     got = {r.page_id: r for r in html.op9_html_main_text(spark, SF).collect()}
     for p in table(spark, SF, "pages").collect():
