@@ -614,3 +614,50 @@ def test_passages_repeated_ids_and_empty(spark):
     assert {r.doc_id for r in got} == {2} and {r.first_doc_id for r in got} == {1}
     assert passages.repeated_passages(spark, docs.where("doc_id = 3")).collect() == []
     assert passages.repeated_passages(spark, docs.limit(0)).collect() == []
+
+
+def test_near_passages_against_brute_force(spark):
+    """Every pair of windows of two documents that brute force finds alike has shingles that the passages put in one class."""
+    rng = random.Random(23)
+    fresh = lambda n: [f"n{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for k in range(60):
+        passage = fresh(50 + k % 3 * 15)
+        if k % 5 == 4:
+            passage[20:26] = passage[10:16]  # repeats within a window
+        near = list(passage)
+        for at in ([3], [25], [len(near) - 2], [0, len(near) - 1])[k % 4]:
+            near[at] = fresh(1)[0]
+        if k % 7 == 6:
+            near.insert(len(near) // 2, fresh(1)[0])
+        # Earlier documents hold parts, and what is least under any function is in one of them.
+        for part in (passage[:40], passage[-40:], near[:38], near[-38:], passage, near, near):
+            rows.append((len(rows), " ".join(fresh(20) + part + fresh(20))))
+    line = fresh(30)
+    rows += [(len(rows) + k, " ".join(fresh(20) + line + fresh(20))) for k in range(40)]
+    got = passages.repeated_passages(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    shingled = {k: [tuple(w[x : x + 5]) for x in range(len(w) - 4)] for k, t in rows for w in [t.split()]}
+    windows = {k: [frozenset(s[x : x + 46]) for x in range(len(s) - 45)] for k, s in shingled.items()}
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for r in got:
+        mine, theirs = shingled[r.doc_id][r.start_word : r.end_word - 4], shingled[r.first_doc_id][r.first_start_word : r.first_end_word - 4]
+        assert r.doc_id > r.first_doc_id and min(len(mine), len(theirs)) >= 46
+        assert 5 * len(set(mine) & set(theirs)) >= 4 * len(set(mine) | set(theirs))
+        for s in set(mine) & set(theirs):
+            up[find((s, r.doc_id))] = find((s, r.first_doc_id))
+    alike = 0
+    for n in range(0, 420, 7):
+        for a in range(n, n + 7):
+            for b in range(n, a):
+                for u in windows[a]:
+                    for v in windows[b]:
+                        if 5 * len(u & v) >= 4 * len(u | v):
+                            alike += 1
+                            assert any(find((s, a)) == find((s, b)) for s in u & v), (a, b)
+    assert alike and not any(r.doc_id >= 420 for r in got)
