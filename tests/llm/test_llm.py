@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on small tables with odd rows in them."""
 
 import collections
+import math
 import random
 import re
 import zlib
@@ -661,3 +662,40 @@ def test_near_passages_against_brute_force(spark):
                             alike += 1
                             assert any(find((s, a)) == find((s, b)) for s in u & v), (a, b)
     assert alike and not any(r.doc_id >= 420 for r in got)
+
+
+def test_near_copies_are_not_told_in_pairs(spark):
+    """A family of near copies costs rows in proportion to its size; each copy is told with the first."""
+    rng = random.Random(29)
+    base = [f"f{k}" for k in range(130)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 40):
+        copy = list(base)
+        for at in (42, 86):
+            copy[at + rng.randrange(-3, 4)] = f"x{k}-{at}"
+        rows.append((k, " ".join(copy)))
+    got = passages.repeated_passages(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got if r.first_doc_id == 0} == set(range(1, 40))
+    assert len(got) < 4 * len(rows), len(got)
+
+
+def test_prefixes_against_brute_force():
+    """Each of the least values of a window has a place whose windows reach from before it to behind it, and their sizes bound its own."""
+    rng = np.random.default_rng(5)
+    s = rng.integers(1, 1 << 63, 1200).astype(np.uint64)
+    s[200:420] = s[rng.integers(190, 215, 220)]  # repeats within windows
+    s[600:700] = s[450:550]  # and a stretch that comes again
+    whole = np.ones(len(s), bool)
+    whole[[300, 301, 800]] = False
+    c, low, high, _, fewest, most = passages.prefixes(s, whole, np.zeros(0, np.uint64))
+    value = passages.mix(s ^ np.uint64(1)) >> np.uint64(1)
+    seen = set()
+    for w in range(len(s) - 45):
+        held = tuple(s[w : w + 46].tolist())
+        if not whole[w : w + 46].all() or len(set(held)) < 46 and held in seen:
+            continue
+        seen.add(held)
+        least = np.unique(value[w : w + 46])
+        least = least[: len(least) - math.ceil(0.8 * len(least) - 1e-9) + 1]
+        mine = (w <= c) & (c < w + 46) & (low <= w) & (w <= high) & (fewest <= len(set(held))) & (len(set(held)) <= most)
+        assert set(least.tolist()) <= set(value[c[mine]].tolist()), w
