@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spindrift.functions.expressions import column_refs, fill, validate, with_aliases
-from spindrift.operators import keyfilter
+from spindrift.operators import keyfilter, writer
 from spindrift.operators.catalog import Catalog, CatalogError, Conflict, LeaseLost, OffsetRace, OperationKeyCollision, Part
 from spindrift.operators.identity import IdentityError, OffsetRange, OperationIdentity, canonical, compaction_identity, ingest_identity
 from spindrift.operators.maintenance import Compactor, Policy, Retention, collect_garbage, delete_key, misordered
@@ -323,6 +323,36 @@ def test_schema_evolution_and_backfill(spark, lake):
     assert seen(spark, catalog, 1, "SELECT payload, n, twice FROM events ORDER BY ts") == [("old", 7, 10), ("new", 7, 12)]
 
 
+@pytest.mark.parametrize("placement", [None, 0])
+def test_sorts_are_bounded(spark, lake, placement, monkeypatch):
+    """No task sorts more than a given memory (twice it where a key crosses the cut), however large the table is."""
+    monkeypatch.setattr(writer, "SORT_BYTES", 60_000, raising=False)
+    catalog, ht, root, _ = lake
+    catalog.set_placement("events", placement)
+    ht = catalog.hypertable("events")
+    rows = [(k, t, f"p{k}-{t}", day) for k in range(1, 41) for t in range(50) for day in ("2026-01-01", "2026-01-02")]
+    rows += [(50, 7, f"tied{n}", "2026-01-01") for n in range(3000)] + [(60, t, "x" * 3000, "2026-01-02") for t in range(200)]
+    df = spark.createDataFrame(rows, "tenant_id long, ts long, payload string, day string")
+    for half in (0, 1):
+        catalog.commit(ht.id, write(spark, catalog, ht, root, df.where(F.pmod(F.xxhash64("payload", "ts"), F.lit(2)) == half)))
+    assert Compactor(spark, catalog, root, policy=Policy(2, 2)).compact_once("events") == 2
+    parts = catalog.live_parts(ht.id)
+    assert sum(p.rows for p in parts) == len(rows) and misordered(spark, ht, parts) == []
+    if placement is None:
+        assert max(p.rows for p in parts) < 1200
+        assert max(p.rows for p in parts if p.key_max == 60) <= 40  # wide rows weigh more
+        assert all(p.key_min == p.key_max for p in parts if p.key_max >= 50)
+    else:
+        assert sorted((p.partition, p.key_min, p.key_max) for p in parts) == sorted((f"day={d}", k, k) for k, d in {(r[0], r[3]) for r in rows})
+    placed, tasks, plan = writer.placed(df, ht, 64.0)
+    held = placed.groupBy("__task").agg(F.countDistinct("day", "__chunk").alias("files"), F.countDistinct("tenant_id").alias("keys"), F.sum(writer.sort_width(df)).alias("bytes")).collect()
+    plan.unpersist()
+    assert all(0 <= r["__task"] < tasks for r in held) and (placement == 0 or all(r["files"] == 1 for r in held))
+    assert max(r["bytes"] for r in held if placement is None or r["keys"] > 1) <= 2 * writer.SORT_BYTES
+    found = seen(spark, catalog, None, "SELECT tenant_id, ts, payload FROM events")
+    assert sorted(found) == sorted(r[:3] for r in rows)
+
+
 @pytest.mark.parametrize("placement", [None, 0, 4000])
 def test_placement(spark, lake, placement):
     catalog, ht, root, _ = lake
