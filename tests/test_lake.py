@@ -353,6 +353,22 @@ def test_sorts_are_bounded(spark, lake, placement, monkeypatch):
     assert sorted(found) == sorted(r[:3] for r in rows)
 
 
+def test_deletion_sorts_little(spark, lake, monkeypatch):
+    """A key's deletion rewrites the parts that have it, each of what one task sorts, and leaves the others."""
+    monkeypatch.setattr(writer, "SORT_BYTES", 60_000, raising=False)
+    catalog, ht, root, _ = lake
+    rows = [(k, t, f"p{k}-{t}") for k in range(1, 61) for t in range(100)]
+    for half in (0, 1):
+        put(spark, lake, [r for r in rows if r[1] % 2 == half])
+    before = {p.path for p in catalog.live_parts(ht.id)}
+    touched = delete_key(spark, catalog, root, "events", 7)
+    parts = catalog.live_parts(ht.id)
+    made = [p for p in parts if p.path not in before]
+    assert 0 < touched <= 4 and len(before - {p.path for p in parts}) == touched
+    assert made and max(p.rows for p in made) < 1200 and misordered(spark, ht, made) == []
+    assert sorted(seen(spark, catalog, None, "SELECT tenant_id, ts, payload FROM events")) == [r for r in rows if r[0] != 7]
+
+
 @pytest.mark.parametrize("placement", [None, 0, 4000])
 def test_placement(spark, lake, placement):
     catalog, ht, root, _ = lake
