@@ -353,6 +353,19 @@ def test_sorts_are_bounded(spark, lake, placement, monkeypatch):
     assert sorted(found) == sorted(r[:3] for r in rows)
 
 
+def test_large_key_without_time(spark, tmp_path, monkeypatch):
+    """Without a time column a large key is tiled by a hash of its rows; without times, its rows share a file."""
+    monkeypatch.setattr(writer, "SORT_BYTES", 60_000, raising=False)
+    rows = [(k, n, f"p{n}", "2026-01-01") for k, many in ((1, 10), (2, 3000), (3, 10)) for n in range(many)]
+    for time, columns in ((None, "tenant_id long, ts long, payload string, day string"), ("ts", "tenant_id long, ts long, payload string, day string")):
+        catalog = Catalog()
+        ht = catalog.create_hypertable("events", TableColumns.parse(EVENTS), ["tenant_id", "ts"], "tenant_id", time=time)
+        df = spark.createDataFrame([r if time is None else (r[0], None, *r[2:]) for r in rows], columns)
+        parts = write(spark, catalog, ht, f"file://{tmp_path}/{time}", df)
+        assert sum(p.rows for p in parts) == len(rows) and misordered(spark, ht, parts) == []
+        assert (max(p.rows for p in parts) < 1200) == (time is None)
+
+
 def test_deletion_sorts_little(spark, lake, monkeypatch):
     """A key's deletion rewrites the parts that have it, each of what one task sorts, and leaves the others."""
     monkeypatch.setattr(writer, "SORT_BYTES", 60_000, raising=False)
